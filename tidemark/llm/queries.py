@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import score_contamination
+from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,6 +27,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_decontamination": op8_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
