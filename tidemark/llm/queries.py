@@ -10,6 +10,7 @@ from .decontaminate import score_contamination
 from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .shared import table
+from .token_bins import token_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,17 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_token_bins": op6_token_bins,
     "op8_decontamination": op8_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
