@@ -10,11 +10,16 @@ from .decontaminate import score_contamination
 from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .shared import table
+from .substring_dedup import substring_dedup
 from .token_bins import token_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +44,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_bins": op6_token_bins,
     "op8_decontamination": op8_decontamination,
@@ -48,6 +54,17 @@ QUERIES: dict[str, Query] = {
 _WORDS8 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     win AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 20), ' ') AS t FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS i FROM doc WHERE len(w) >= 20)),
+     later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+     lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+     kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM doc) a
+              WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = a.doc_id AND g.p = a.p) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM doc LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op8_decontamination": rf"""
 WITH item AS (SELECT item_id, {_WORDS8} AS w FROM benchmark WHERE text IS NOT NULL),
      win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, i + 1, i + least(13, len(w))), ' ') AS t
