@@ -11,6 +11,7 @@ from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .shared import table
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_bins import token_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_bins": op6_token_bins,
     "op8_decontamination": op8_decontamination,
