@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import score_contamination
+from .near_dedup import near_dedup
 from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .shared import table
@@ -44,6 +45,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_bins": op6_token_bins,
     "op8_decontamination": op8_decontamination,
+    "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
