@@ -11,6 +11,7 @@ from .html_extract import extract_main_text
 from .near_dedup import near_dedup
 from .quality_classifier import score_quality
 from .quality_rules import quality_rules
+from .sentencepiece_scan import encode
 from .shared import table
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -19,6 +20,10 @@ from .token_bins import token_digest
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).drop("ids")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_classifier": op5_quality_classifier,
