@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tpch import TPCH
+
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -28,16 +30,9 @@ def _sql(text: str) -> Query:
     return run
 
 
-_Q1 = """
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_quantity), 4) AS avg_qty, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus
-"""
-
-
 def queries() -> dict[str, Query]:
-    return {"tpch_q01": _sql(_Q1)}
+    return {name: _sql(text) for name, text in TPCH.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"tpch_q01": _Q1}
+    return dict(TPCH)
