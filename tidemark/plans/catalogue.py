@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .relational import RELATIONAL
 from .tpch import TPCH
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +31,12 @@ def _sql(text: str) -> Query:
     return run
 
 
+TEXTS: dict[str, tuple[str, str | None]] = {**{name: (text, None) for name, text in TPCH.items()}, **RELATIONAL}
+
+
 def queries() -> dict[str, Query]:
-    return {name: _sql(text) for name, text in TPCH.items()}
+    return {name: _sql(text) for name, (text, _) in TEXTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(TPCH)
+    return {name: other or text for name, (text, other) in TEXTS.items()}
