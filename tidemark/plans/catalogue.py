@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .relational import RELATIONAL
+from .scalar import FUNCTIONS, SCALAR
 from .tpch import TPCH
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,12 +32,14 @@ def _sql(text: str) -> Query:
     return run
 
 
-TEXTS: dict[str, tuple[str, str | None]] = {**{name: (text, None) for name, text in TPCH.items()}, **RELATIONAL}
+TEXTS: dict[str, tuple[str, str | None]] = {**{name: (text, None) for name, text in TPCH.items()}, **RELATIONAL, **SCALAR}
 
 
 def queries() -> dict[str, Query]:
-    return {name: _sql(text) for name, (text, _) in TEXTS.items()}
+    own = {name: _sql(text) for name, (text, _) in TEXTS.items()}
+    return own | {name: f for name, (f, _) in FUNCTIONS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: other or text for name, (text, other) in TEXTS.items()}
+    own = {name: other or text for name, (text, other) in TEXTS.items()}
+    return own | {name: text for name, (_, text) in FUNCTIONS.items()}
