@@ -28,6 +28,7 @@ library has it; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -45,6 +46,7 @@ GUARD = "\n"
 SPACE = "▁"
 NEVER = float("-inf")
 
+_CHUNKS = pa.schema([("row", pa.int64()), ("i", pa.int64()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("part", pa.string()), ("doc_id", pa.int64()), ("said", pa.binary())])
 ENCODED = "doc_id long, n_tokens long, ids_crc32 long, n_chunks long, round_trip boolean, ids binary"
 
 
@@ -324,21 +326,26 @@ def _scan(matrices: DataFrame, most: int) -> DataFrame:
     return whole.groupBy("row", "g").applyInArrow(inside, found)
 
 
+def _said(text: str) -> bytes:
+    """A fingerprint of what a text's ids decode to."""
+    return hashlib.md5(text.replace(SPACE, " ").encode()).digest()
+
+
 def _encode_giants(giants: DataFrame, shared) -> DataFrame:
-    """doc_id, text and ids (little-endian u32) of giant documents, by way of their chunks."""
+    """doc_id, ids (little-endian u32), n_chunks and the text's fingerprint of giant documents, by way of their chunks."""
     halo = _pieces(shared).longest * 2 + 2
-    giants = cut(giants.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "giants")
 
     def chop(batches):
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+            for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
                 n = -(-len(text) // CHUNK)
                 for i in range(n):
                     lo, hi = i * CHUNK, min(len(text), (i + 1) * CHUNK)
                     a, b = max(0, lo - halo), min(len(text), hi + halo)
-                    yield pa.RecordBatch.from_pydict({"row": [row], "i": [i], "n": [n], "lo": [lo - a], "hi": [hi - a], "part": [text[a:b]]})
+                    yield pa.RecordBatch.from_pylist([{"row": row, "i": i, "n": n, "lo": lo - a, "hi": hi - a, "part": text[a:b], "doc_id": doc_id, "said": None if i else _said(text)}], schema=_CHUNKS)
 
-    chunks = cut(giants.mapInArrow(chop, "row long, i long, n long, lo long, hi long, part string").repartition("row", "i"), "chunks")
+    # the texts are kept as chunks only; the row numbers are those written here
+    chunks = cut(giants.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(chop, "row long, i long, n long, lo long, hi long, part string, doc_id long, said binary"), "chunks")
 
     def chunk(r: dict) -> Chunk:
         return Chunk(_pieces(shared), r["part"], r["lo"], r["hi"], r["i"] == 0, r["i"] == r["n"] - 1)
@@ -351,7 +358,7 @@ def _encode_giants(giants: DataFrame, shared) -> DataFrame:
     matrices = cut(chunks.mapInArrow(transfer, MATRIX), "matrices")
     most = matrices.agg(F.max("i")).first()[0]
     if most is None:
-        return giants.select("doc_id", "text", F.lit(None).cast("binary").alias("ids"), F.lit(0).cast("long").alias("n_chunks"))
+        return chunks.select("doc_id", "said", F.lit(None).cast("binary").alias("ids"), F.lit(0).cast("long").alias("n_chunks"))
     states = _scan(matrices, most + 1)
     joined = chunks.join(states, ["row", "i"]).join(matrices, ["row", "i"])
 
@@ -363,13 +370,20 @@ def _encode_giants(giants: DataFrame, shared) -> DataFrame:
                 before, after = np.frombuffer(r["before"], np.uint8), np.frombuffer(r["after"], np.uint8)
                 live = [(a, b) for a in np.flatnonzero(before) for b in np.flatnonzero(after) if m[a, b] == 0]
                 ids = chunk(r).ids(int(live[0][0]), int(live[0][1]))
-                out.append({"row": r["row"], "i": r["i"], "ids": np.array(ids, "<u4").tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("i", pa.int64()), ("ids", pa.binary())]))
+                out.append({"row": r["row"], "i": r["i"], "ids": np.array(ids, "<u2" if small else "<u4").tobytes(), "doc_id": r["doc_id"], "said": r["said"]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("i", pa.int64()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("said", pa.binary())]))
+
+    small = _pieces(shared).library.get_piece_size() <= 1 << 16
+    traced = joined.mapInArrow(trace, "row long, i long, ids binary, doc_id long, said binary")
+    whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("said").alias("said"), F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts"))  # one document's, like its text
 
-    traced = joined.mapInArrow(trace, "row long, i long, ids binary")
-    whole = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts"))  # one document's, like its text
-    whole = whole.select("row", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"), F.size("parts").cast("long").alias("n_chunks"))
-    return giants.join(whole, "row").select("doc_id", "text", "ids", "n_chunks")
+    def join_parts(batches):
+        for batch in batches:
+            parts = batch.column("parts").to_pylist()
+            ids = [np.frombuffer(b"".join(x["ids"] for x in p), "<u2" if small else "<u4").astype("<u4").tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("said"), pa.array(ids, pa.binary()), pa.array([len(p) for p in parts], pa.int64())], names=["doc_id", "said", "ids", "n_chunks"])
+
+    return whole.mapInArrow(join_parts, "doc_id long, said binary, ids binary, n_chunks long")
 
 
 def encode(docs: DataFrame, model_path: str, giant: int = GIANT) -> DataFrame:
@@ -381,10 +395,10 @@ def encode(docs: DataFrame, model_path: str, giant: int = GIANT) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def finish(doc_id, texts: list[str], ids: list[list[int]], chunks: list[int], decoded: list[str]) -> pa.RecordBatch:
+    def finish(doc_id, same: list[bool], ids: list[list[int]], chunks: list[int]) -> pa.RecordBatch:
         raw = [np.array(x, "<u4").tobytes() for x in ids]
         return pa.RecordBatch.from_arrays(
-            [doc_id, pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(chunks, pa.int64()), pa.array([t.replace(SPACE, " ") == x for t, x in zip(texts, decoded)], pa.bool_()), pa.array(raw, pa.binary())],
+            [doc_id, pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(chunks, pa.int64()), pa.array(same, pa.bool_()), pa.array(raw, pa.binary())],
             names=["doc_id", "n_tokens", "ids_crc32", "n_chunks", "round_trip", "ids"],
         )
 
@@ -395,16 +409,17 @@ def encode(docs: DataFrame, model_path: str, giant: int = GIANT) -> DataFrame:
                 part = batch.slice(a, 256)
                 texts = part.column("text").to_pylist()
                 ids = library.encode(texts, num_threads=1)
-                yield finish(part.column("doc_id"), texts, ids, [1] * len(ids), library.decode(ids, num_threads=1))
+                same = [t.replace(SPACE, " ") == x for t, x in zip(texts, library.decode(ids, num_threads=1))]
+                yield finish(part.column("doc_id"), same, ids, [1] * len(ids))
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _pieces(shared).library
         for batch in batches:
             for a in range(0, batch.num_rows, 16):
                 part = batch.slice(a, 16)
-                texts = part.column("text").to_pylist()
                 ids = [np.frombuffer(x, "<u4").tolist() for x in part.column("ids").to_pylist()]
-                yield finish(part.column("doc_id"), texts, ids, part.column("n_chunks").to_pylist(), library.decode(ids, num_threads=1))
+                same = [_said(x) == y for x, y in zip(library.decode(ids, num_threads=1), part.column("said").to_pylist())]
+                yield finish(part.column("doc_id"), same, ids, part.column("n_chunks").to_pylist())
 
     small = d.where(F.length("text") <= giant).mapInArrow(whole, ENCODED)
     return small.union(_encode_giants(d.where(F.length("text") > giant), shared).mapInArrow(chunked, ENCODED))
