@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lakehouse import LAKEHOUSE
 from .relational import RELATIONAL
 from .scalar import FUNCTIONS, SCALAR
 from .tpch import TPCH
@@ -37,9 +38,9 @@ TEXTS: dict[str, tuple[str, str | None]] = {**{name: (text, None) for name, text
 
 def queries() -> dict[str, Query]:
     own = {name: _sql(text) for name, (text, _) in TEXTS.items()}
-    return own | {name: f for name, (f, _) in FUNCTIONS.items()}
+    return own | {name: f for name, (f, _) in {**FUNCTIONS, **LAKEHOUSE}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     own = {name: other or text for name, (text, other) in TEXTS.items()}
-    return own | {name: text for name, (_, text) in FUNCTIONS.items()}
+    return own | {name: text for name, (_, text) in {**FUNCTIONS, **LAKEHOUSE}.items()}
