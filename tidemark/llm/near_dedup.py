@@ -17,7 +17,10 @@ is first paired with the bucket's smallest only; links found that way give
 components; then, in buckets that still hold several components, pairs from
 different components whose sketches agree often enough are verified as well, so
 that a link that joins two components is not missed because its ends did not link
-to the smallest.
+to the smallest.  Such a pair is verified only if it can be linked at all: k-mers
+that no other text of these buckets has can't be matched, so both texts need
+enough others.  That settles, without pairing them, most copies of one original
+that are just too far from it and from each other.
 
 A link of similarity s meets in a bucket with a chance of about
 1 - (1 - s**TAKEN)**TABLES: 0.999997 at 0.8.
@@ -48,8 +51,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 TABLES = 24
 TAKEN = 4
-#: Pairs from different components are verified if so many of the TABLES minima agree; at similarity 0.8 fewer do with a chance of 1e-5.
-AGREE = 10
+#: Texts of a bucket that one task compares with each other.
+BLOCK = 4_000
 
 _RNG = np.random.RandomState(20240229)
 _XOR = _RNG.randint(0, 1 << 62, TABLES).astype(np.uint64)
@@ -90,13 +93,13 @@ def kmers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d, g
 
 
-def sketches(d: np.ndarray, g: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, minima) of each text, n_texts x TABLES: bucket keys, and the lowest byte of the smallest k-mer in each order."""
+def sketches(d: np.ndarray, g: np.ndarray, n_texts: int) -> np.ndarray:
+    """Bucket keys of each text, n_texts x TABLES."""
     n = np.bincount(d, minlength=n_texts)
-    keys, low = np.zeros((n_texts, TABLES), np.int64), np.zeros((n_texts, TABLES), np.uint8)
+    keys = np.zeros((n_texts, TABLES), np.int64)
     texts = np.flatnonzero(n)
     if not len(texts):
-        return keys, low
+        return keys
     want = np.minimum(n, TAKEN)
     # nearly always the smallest few lie below this; where not, the text is done without it
     below = np.full(n_texts, 0xFFFFFFFFFFFFFFFF, np.uint64)
@@ -113,13 +116,12 @@ def sketches(d: np.ndarray, g: np.ndarray, n_texts: int) -> tuple[np.ndarray, np
             at = at[np.lexsort((v[at], d[at]))]
             begin = np.searchsorted(d[at], texts)
             rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-            low[texts, t] = (g[at[begin]] & np.uint64(255)).astype(np.uint8)
             taken = np.sort(at[rank < TAKEN])
             begin = np.searchsorted(d[taken], texts)
             rank = np.arange(len(taken)) - np.repeat(begin, np.diff(np.append(begin, len(taken))))
             key = np.add.reduceat(g[taken] * np.array(_ORDER)[rank], begin)
             keys[texts, t] = K.mix(key + np.uint64(t) * _LABEL).view(np.int64)
-    return keys, low
+    return keys
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
@@ -151,19 +153,19 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(id, text's md5, n k-mers, keys, minima) of every document with words."""
+    """(id, text's md5, n k-mers, keys) of every document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y, data, off in K.blocks(batch):
                 d, g = kmers(data, off)
                 n = np.bincount(d, minlength=y - x)
-                keys, low = sketches(d, g, y - x)
+                keys = sketches(d, g, y - x)
                 lists = pa.ListArray.from_arrays(np.arange(0, (y - x + 1) * TABLES, TABLES, dtype=np.int32), pa.array(keys.reshape(-1)))
-                out = pa.RecordBatch.from_arrays([batch.column("id").slice(x, y - x), batch.column("same").slice(x, y - x), pa.array(n, pa.int64()), lists, pa.array([r.tobytes() for r in low], pa.binary())], names=["id", "same", "n", "keys", "low"])
+                out = pa.RecordBatch.from_arrays([batch.column("id").slice(x, y - x), batch.column("same").slice(x, y - x), pa.array(n, pa.int64()), lists], names=["id", "same", "n", "keys"])
                 yield out.filter(pa.array(n > 0))
 
-    return docs.mapInArrow(run, "id long, same binary, n long, keys array<long>, low binary")
+    return docs.mapInArrow(run, "id long, same binary, n long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -180,57 +182,93 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of one bucket from different components whose minima agree often; rows: key, id, root, n, low."""
+def _own_kmers(texts: DataFrame) -> DataFrame:
+    """(id, own): how many k-mers of a document no other of these texts has; ids with several texts are left out."""
 
-    def pairs(ids, roots, n, low):
-        order = np.argsort(n, kind="stable")
-        ids, roots, n, low = ids[order], roots[order], n[order], low[order]
-        stop = np.searchsorted(n, n / SIMILARITY + 1e-9, side="right")  # longer ones can't be linked
-        for i in range(len(ids) - 1):
-            s = slice(i + 1, stop[i])
-            hit = (roots[s] != roots[i]) & ((low[s] == low[i]).sum(axis=1) >= AGREE)
-            for j in np.flatnonzero(hit).tolist():
-                a, b = int(ids[i]), int(ids[i + 1 + j])
-                yield (a, b) if a < b else (b, a)
+    def run(batches):
+        for batch in batches:
+            for x, y, data, off in K.blocks(batch):
+                d, g = kmers(data, off)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(x + d)), pa.array(g.view(np.int64))], names=["id", "k"])
+
+    single = texts.groupBy("id").agg(F.count("*").alias("c")).where("c = 1").select("id")
+    once = texts.mapInArrow(run, "id long, k long").groupBy("k").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return once.groupBy("id").agg(F.count("*").alias("own")).join(single, "id", "left_semi")
+
+
+def bucket_links(ids: np.ndarray, roots: np.ndarray, texts: list[np.ndarray], similarity: float = SIMILARITY) -> Iterator[tuple[int, int]]:
+    """Links that join the components of a bucket's texts (given by their k-mers) as far as their links do; a spanning forest of them.
+
+    An index of the k-mers gives the exact number of common ones of a text and all
+    others; those that have enough are aligned, unless they are joined by then.
+    """
+    share = similarity / (1 + similarity)
+    n = np.array([len(t) for t in texts])
+    comp = np.unique(roots, return_inverse=True)[1]
+    _, inv = np.unique(np.concatenate(texts), return_inverse=True)
+    owner = np.repeat(np.arange(len(texts)), n)
+    order = np.argsort(inv, kind="stable")
+    begin = np.append(0, np.cumsum(np.bincount(inv)))
+    owner = owner[order]
+    own = np.split(inv, np.cumsum(n)[:-1])
+    for i in range(len(texts) - 1):
+        if (comp == comp[0]).all():
+            return
+        if (comp[i + 1 :] == comp[i]).all():
+            continue
+        common = np.bincount(np.concatenate([owner[begin[k] : begin[k + 1]] for k in own[i]]), minlength=len(texts))
+        may = (comp != comp[i]) & (common >= share * (n + n[i]) - 1e-9)
+        may[: i + 1] = False
+        for j in np.flatnonzero(may)[np.argsort(-common[may], kind="stable")].tolist():
+            if comp[j] != comp[i] and aligned(texts[i], texts[j], similarity) >= similarity - 1e-9:
+                comp[comp == comp[j]] = comp[i]
+                yield int(ids[i]), int(ids[j])
+
+
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components that still share a bucket; rows: key, id, root, text.
+
+    A bucket of more than ``BLOCK`` texts is dealt out in blocks, each pair of
+    blocks to a task of its own.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(blocks, F.lit(1))).cast("int")
+    sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    sized = sized.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "root", "text")
 
     def run(batches):
-        held, out = [], []
+        held: list[tuple[int, int, np.ndarray]] = []
+        last = None
+        out: list[tuple[int, int]] = []
 
         def close():
-            key, ids, roots, n, low = (np.concatenate(c) for c in zip(*held))
+            ids, roots = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+            if len(held) > 1 and (roots != roots[0]).any():
+                out.extend(bucket_links(ids, roots, [x[2] for x in held], similarity))
             held.clear()
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(key)]):
-                if (roots[x:y] != roots[x]).any():
-                    out.extend(pairs(ids[x:y], roots[x:y], n[x:y], low[x:y]))
-
-        def ready():
-            cols = list(zip(*out)) or [(), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy()
-            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, TABLES)
-            cols = [key, *(batch.column(c).to_numpy() for c in ("id", "root", "n")), low]
-            new = np.flatnonzero(key != key[0])
-            if held and held[-1][0][-1] != key[0]:
-                close()
-            # whole buckets are done; the last one may go on in the next batch
-            last = int(np.searchsorted(key, key[-1], side="left")) if len(new) else 0
-            if last:
-                held.append([c[:last] for c in cols])
-                close()
-            held.append([c[last:] for c in cols])
-            yield ready()
-        if held:
-            close()
-        yield ready()
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+            key, ids, roots = (batch.column(c).to_numpy() for c in ("key", "id", "root"))
+            for x, y, data, off in K.blocks(batch):
+                d, g = kmers(data, off)
+                parts = np.split(g, np.cumsum(np.bincount(d, minlength=y - x))[:-1])
+                for i in range(x, y):
+                    if key[i] != last:
+                        close()
+                        last = key[i]
+                    held.append((ids[i], roots[i], parts[i - x]))
+        close()
+        cols = list(zip(*out)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
+
+    return sized.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long")
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """The rows (key, id, root) of buckets that hold several components."""
+    several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return rows.join(several, "key", "left_semi").select("key", "id", "root")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -250,12 +288,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     roots = components(links)
     label = met.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     label = cut(label, "labels")
-    # only buckets that still hold several components go on
-    named = met.select("key", "id").join(label, "id")
-    split = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    sides = reps.select("id", "n", "low").join(met.select("id").distinct(), "id", "left_semi")
-    more = _across(named.join(split, "key", "left_semi").join(sides, "id").select("key", "id", "root", "n", "low")).join(stars, ["a", "b"], "left_anti")
-    more = cut(_verified(more, texts, similarity), "links")
+    # only buckets that still hold several components go on, with those of their texts that can be linked with another
+    open_ = cut(_split(met.select("key", "id").join(label, "id")), "open-buckets")
+    alone = _own_kmers(texts.join(open_.select("id").distinct(), "id", "left_semi"))
+    sides = reps.select("id", "n").join(open_.select("id").distinct(), "id", "left_semi").join(alone, "id", "left")
+    # at best with a text of 0.8 times its k-mers
+    able = sides.where((F.col("n") - F.coalesce("own", F.lit(0))) >= similarity * F.col("n") - 1e-9).select("id").distinct()
+    open_ = _split(open_.join(able, "id", "left_semi"))
+    more = cut(_across(open_.join(texts, "id").select("key", "id", "root", "text"), similarity), "links")
     edges = copies.union(links).union(more)
     found = components(edges)
     return found.select(F.col("node").alias("id"), F.col("root").alias("class_id"))
