@@ -300,3 +300,67 @@ def test_url_path_hash(spark):
     register(spark)
     df.createOrReplaceTempView("urls")
     assert {r.u: r.h for r in spark.sql("SELECT u, URLPathHash(u) AS h FROM urls").collect()} == want
+
+
+def test_prepared_statements_and_api(engine):
+    assert engine.create_table("n.t", [("id", "BIGINT", False), ("ts", "TIMESTAMP", True)], ["day(ts)", "bucket(8, id)"], ["id desc"])
+    assert not engine.create_table("n.t", [("id", "INT", True)], if_not_exists=True)
+    engine.sql("INSERT INTO n.t VALUES (1, TIMESTAMP '2024-01-01 00:00:00'), (2, NULL)")
+    h = engine.prepare("SELECT id FROM n.t WHERE id >= :least")
+    assert rows(engine.execute(h, {"least": 2})) == [(2,)] and rows(engine.execute(h, {"least": 0})) == [(1,), (2,)]
+    engine.close(h)
+    with pytest.raises(C.NotFound):
+        engine.execute(h)
+    with pytest.raises(C.InvalidArgument):
+        engine.prepare("DROP TABLE n.t")
+    assert engine.page(list(range(5000)), 10, 9999) == list(range(10, 1010))
+    assert {r.table_type for r in engine.metadata("table_types").collect()} == {"TABLE", "VIEW"} and engine.metadata("primary_keys").count() == 0
+    assert [r.db_schema_name for r in engine.metadata("schemas").collect()] == ["n"]
+
+
+def test_arrow_and_backpressure(engine):
+    import pyarrow as pa
+
+    from tidemark.streaming.ingest import Backpressure
+
+    engine.sql("CREATE TABLE t (a BIGINT, b STRING)")
+    data = pa.table({"a": [1, 2], "b": ["x", None]})
+    engine.ingest.arrow("t", data, key="k")
+    assert engine.ingest.arrow("t", data, key="k").duplicate
+    engine.ingest.soft_bytes = 1
+    engine.ingest.arrow("t", data)  # flushes the first
+    assert engine.table("t").count() == 2
+    engine.ingest.hard_bytes = 1
+    with pytest.raises(Backpressure):
+        engine.ingest.arrow("t", data)
+    assert engine.ingest.purge_keys("t") == 0
+
+
+def test_joins_of_tables_with_aliases(engine):
+    engine.sql("CREATE TABLE s.a (id INT, v STRING)")
+    engine.sql("CREATE TABLE s.b (id INT, w STRING)")
+    engine.sql("INSERT INTO s.a VALUES (1, 'x'), (2, 'y')")
+    engine.sql("INSERT INTO s.b VALUES (1, 'from s.a'), (3, 'z')")
+    assert rows(engine.sql("SELECT a.id, b.w FROM s.a JOIN s.b ON a.id = b.id")) == [(1, "from s.a")]
+    assert rows(engine.sql("SELECT l.v, r.w FROM s.a AS l, s.b r WHERE l.id = r.id")) == [("x", "from s.a")]
+    assert rows(engine.sql("WITH t AS (SELECT id FROM s.a) SELECT t.id FROM t LEFT ANTI JOIN s.b ON t.id = b.id")) == [(2,)]
+    assert rows(engine.sql("SELECT v FROM s.a WHERE id IN (SELECT id FROM s.b)")) == [("x",)]
+    assert rows(engine.sql("SELECT x.v FROM `s`.`a` x")) == [("x",), ("y",)]
+
+
+def test_dotted_columns(engine):
+    engine.ingest.json("e", [{"customer": {"id": 1, "tier": "gold"}, "amount": 2.5}, {"customer": {"id": 2}, "amount": 1}])
+    engine.ingest.flush("e")
+    assert rows(engine.sql("SELECT `customer.id`, amount FROM e")) == [(1, 2.5), (2, 1.0)]
+    engine.ingest.json("e", {"customer.id": 3, "customer": {"tier": "x"}, "amount": 0})
+    engine.ingest.flush("e")
+    assert rows(engine.sql("SELECT `customer.id`, `customer.tier` FROM e WHERE amount = 0")) == [(3, "x")]
+
+
+def test_streaming_batches_commit_once(spark, engine, tmp_path):
+    engine.sql("CREATE TABLE t (a INT)")
+    spark.createDataFrame([(1,), (2,)], "a int").write.json(f"file://{tmp_path}/in")
+    for _ in range(2):
+        engine.ingest.stream("t", f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination()
+    append(engine.catalog, ("default", "t"), spark.createDataFrame([(9,)], "a int"), commit_id=f"file://{tmp_path}/cp#0")
+    assert rows(engine.table("t")) == [(1,), (2,)]

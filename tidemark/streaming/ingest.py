@@ -77,9 +77,15 @@ def flatten_columns(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+class Backpressure(RuntimeError):
+    """More is staged than a table may hold; flush first."""
+
+
 class Ingest:
-    def __init__(self, catalog: Catalog):
-        self.catalog, self.spark = catalog, catalog.spark
+    """soft_bytes of staged data make the next request flush by itself; beyond hard_bytes requests are refused."""
+
+    def __init__(self, catalog: Catalog, soft_bytes: int = 384 << 20, hard_bytes: int = 512 << 20):
+        self.catalog, self.spark, self.soft_bytes, self.hard_bytes = catalog, catalog.spark, soft_bytes, hard_bytes
 
     def _staging(self, ident) -> str:
         return f"{self.catalog.location(ident)}/staging"
@@ -113,9 +119,27 @@ class Ingest:
             files.same_columns(df, table)
         return self._stage(ident, df, key, None)
 
+    def arrow(self, name: str, data, key: str | None = None) -> Receipt:
+        """A pyarrow Table, with exactly the table's columns."""
+        return self.frame(name, self.spark.createDataFrame(data), key=key)
+
+    def purge_keys(self, name: str) -> int:
+        """Forgets idempotency keys older than KEY_HOURS, and the oldest beyond MAX_KEYS."""
+        ident = resolve(name)
+        keys = sorted(self.catalog.store.files(f"{self.catalog.location(ident)}/keys"), key=lambda k: -k[2])
+        old = [k for i, k in enumerate(keys) if i >= MAX_KEYS or time.time() - k[2] > KEY_HOURS * 3600]
+        for path, *_ in old:
+            self.catalog.store.delete(path)
+        return len(old)
+
     def _stage(self, ident, df: DataFrame, key: str | None, rows: int | None) -> Receipt:
         table = self.catalog.load(ident)
         batch = uuid.uuid4().hex
+        staged = sum(size for _, size, _ in self.catalog.store.files(self._staging(ident)))
+        if staged >= self.hard_bytes:
+            raise Backpressure(f"{staged} bytes are staged for {'.'.join(ident)}")
+        if staged >= self.soft_bytes:
+            self.flush(".".join(ident))
         if key is not None:
             known = self._claim(ident, key, batch)
             if known:
