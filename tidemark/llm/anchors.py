@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import bounded_batches
 
 NULL_ID = -(1 << 63)
 HOT = 20_000
@@ -102,6 +103,7 @@ def segments(b: Block, shape: Shape) -> Segments:
 
 def known_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """(did, h, text) of each row, the same with one row a document, and whether ids are unique."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
     unique = d.groupBy("did").count().where("count > 1").limit(1).count() == 0
     if unique:
@@ -217,6 +219,7 @@ def sent_segments(docs: DataFrame, shape: Shape, hot: int = HOT) -> DataFrame:
                 if len(spans) > 50_000:
                     yield from flush()
         yield from flush()
+        K.release()
 
     return joined.select("did", "h", "text", "places").mapInArrow(run, SENT)
 
@@ -265,7 +268,9 @@ def decided(sent: DataFrame, judge: Callable[[list], Iterator[tuple[int, int, in
                     yield out()
         if held:
             spans.extend(judge(held))
+        held = []
         yield out()
+        K.release()
 
     # decided spans have no key: dealt by document, so that they don't all meet in one task
     by = F.coalesce("key", F.xxhash64("did", "first"))

@@ -125,4 +125,4 @@ def format_chat(messages: DataFrame) -> DataFrame:
 def write_chats(messages: DataFrame, path: str) -> None:
     """The formatted turns as text files, conversation after conversation in reply order; sorted by ranges, so one conversation may fill several files."""
     turns = format_chat(messages)
-    turns.repartitionByRange("root_conv", "root_turn", "turn").sortWithinPartitions("root_conv", "root_turn", "turn", "formatted").select("formatted").write.option("lineSep", "").text(path)
+    turns.repartitionByRange("root_conv", "root_turn", "turn").sortWithinPartitions("root_conv", "root_turn", "turn", "formatted").select(F.expr("substring(formatted, 1, length(formatted) - 1)")).write.text(path)

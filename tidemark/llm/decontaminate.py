@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import cut
+from .shared import bounded_batches, cut
 
 WINDOW_WORDS = 13
 MAX_BROADCAST_BYTES = 16 << 20
@@ -100,6 +100,7 @@ def _item_blocks(benchmark: DataFrame, max_bytes: int) -> list[list[tuple[str, s
     Larger benchmarks are dealt with one block at a time, so neither the driver nor an executor holds more.
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t")).where("t is not null")
+    bounded_batches(benchmark.sparkSession)
     lists, size = [[]], 0
     for r in items.toLocalIterator():
         if size and size + len(r.t) > max_bytes:

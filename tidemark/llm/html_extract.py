@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Elements that begin and end a line.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements without an end tag.
@@ -42,6 +44,8 @@ MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|
 #: Values of class, id and itemprop that mark the article itself.
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?(?:body|content)|entry-?content|main-?content|story-?body)(?:$|[\s_-])", re.I)
 SIGMA = 1.0
+#: A line with fewer characters a tag is no content, whatever its neighbours are.
+LEAST = 2.0
 #: Clusters of log ratios count as two if their means are so far apart.
 APART = 0.7
 
@@ -162,9 +166,10 @@ def main_text(html: str | None) -> str:
     lines = page_lines(html) if html else []
     if not lines:
         return ""
-    level = np.log1p(smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in lines], float)))
-    keep = level >= threshold(level)
-    if keep.all() or level[keep].mean() - level[~keep].mean() < APART:
+    ratio = np.array([len(t) / max(1, tags) for t, tags, _, _ in lines], float)
+    level = np.log1p(smoothed(ratio))
+    keep = (level >= threshold(level)) & (ratio >= LEAST)
+    if keep.all() or not keep.any() or level[keep].mean() - level[~keep].mean() < APART:
         keep[:] = True  # one cluster: nothing sets some lines apart
     for i in range(len(lines) - 2, -1, -1):
         keep[i] |= lines[i][3] and keep[i + 1]
@@ -183,5 +188,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             text = [main_text(html[i].as_py()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return p.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -8,6 +8,7 @@ of the block's bytes whatever the documents look like.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are gathered up to so many bytes before they are worked on together.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -151,3 +152,11 @@ def covered(n: int, starts: np.ndarray, lengths) -> np.ndarray:
     np.add.at(d, starts, 1)
     np.add.at(d, np.minimum(starts + lengths, n), -1)
     return np.cumsum(d[:n]) > 0
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on, and would hold on to the most they ever used."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import cut
+from .shared import bounded_batches, cut
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -259,6 +259,7 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
                         last = key[i]
                     held.append((ids[i], roots[i], parts[i - x]))
         close()
+        K.release()
         cols = list(zip(*out)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
 
@@ -273,6 +274,7 @@ def _split(rows: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id) of every document that has a class with another document or text; ids are not null."""
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
     sk = cut(_sketched(d.withColumn("same", F.unhex(F.md5("text")))), "sketches")
     # equal texts are one: the smallest id stands for them

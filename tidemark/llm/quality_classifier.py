@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import bounded_batches
 
 BITS = 18
 NGRAMS = 2
-MAX_TRAIN = 12_000
+MAX_TRAIN = 6_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.0
 #: The hash of every n-gram that is one token n times over.
@@ -111,6 +112,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _ in range(EPOCHS):
         for i, x, y in rows:
             model.learn(i, x.astype(np.float64), y)
+    rows.clear()
+    K.release()
     yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], names=["w"])
 
 
@@ -121,6 +124,7 @@ def held_out():
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.ndarray:
     """Weights from at most max_train labelled texts that are not held out."""
+    bounded_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").where(~held_out())
     marks = marks.groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # bounded, so it may be broadcast

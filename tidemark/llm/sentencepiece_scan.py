@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import bounded_batches, cut
 
 GIANT = 32_768
 CHUNK = 8_192
@@ -392,6 +392,7 @@ def encode(docs: DataFrame, model_path: str, giant: int = GIANT) -> DataFrame:
     ids_crc32 is of those bytes; round_trip tells whether the ids decode to the
     text (its U+2581 as spaces).
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(open(model_path, "rb").read())
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 

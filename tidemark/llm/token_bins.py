@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import fresh_path
+from .shared import bounded_batches, fresh_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -312,6 +312,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or fresh_path(spark, "tokens")
     text = open(tokenizer_path, encoding="utf-8").read()
     own = Tokenizer.from_str(text)
