@@ -291,3 +291,16 @@ def test_chats(spark, tmp_path):
 def test_chats_without_quotes(spark):
     got = {(r.conv_id, r.turn): r.text for r in queries.QUERIES["op3_chat_format"](spark, SF).collect()}
     assert got == {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+
+
+def test_chats_oracle(spark):
+    import duckdb
+
+    sql = queries.ORACLE_SQL["op3_chat_format"]
+    assert compare(queries.QUERIES["op3_chat_format"](spark, SF), duck(SF), sql) > 50
+    rows = [list(r) for r in CHAT if r[0] is not None]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    m = spark.createDataFrame([tuple(r) for r in rows], "conv_id long, turn long, role string, text string")
+    assert compare(chat_format.format_chat(m), c, sql) == len(rows)

@@ -9,8 +9,9 @@ does.  A passage belongs to the message that most of its lines point to (of
 equals the same conversation, then the latest).  The passages of level 1 name a
 message's parent in the same way; deeper ones are linked too, by ``quote_links``.
 Quotes and the attribution line before them ("... wrote:") are cut out, and
-messages are put in reply order: by the root of their chain of parents, then by
-turn, so an answer stands after what it answers.
+messages are put in reply order: by the root of their chain of parents, by how
+often that chain goes over to another conversation (hops), then by turn, so an
+answer stands after what it answers.
 
 Everything is DataFrame functions.  A line of a hot conversation or a hot line
 meets its quotes in a sorted window, whose memory doesn't grow; only lines that
@@ -87,21 +88,21 @@ def quote_links(messages: DataFrame) -> DataFrame:
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, root_conv, root_turn) for (conv_id, turn, to_conv, to_turn), by pointer jumping: log(longest chain) rounds.
+    """(conv_id, turn, root_conv, root_turn, hops) for (conv_id, turn, to_conv, to_turn), by pointer jumping: log(longest chain) rounds.
 
     A chain that closes on itself (across conversations) ends where its smallest
     message stands.
     """
     key, to = ["conv_id", "turn"], F.struct(F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn"))
-    p = cut(parents.select(F.struct(*key).alias("m"), to.alias("r")), "chains")
+    p = cut(parents.select(F.struct(*key).alias("m"), to.alias("r"), (F.col("to_conv") != F.col("conv_id")).cast("long").alias("hops")), "chains")
     for _ in range(64):  # 2**64 messages in a chain
-        up = p.select(F.col("m").alias("r"), F.col("r").alias("rr"))
-        q = cut(p.join(up, "r", "left").select("m", F.when(F.col("rr").isNull(), F.col("r")).otherwise(F.least("r", "rr")).alias("next"), "r", "rr"), "chains")
+        up = p.select(F.col("m").alias("r"), F.col("r").alias("rr"), F.col("hops").alias("more"))
+        q = cut(p.join(up, "r", "left").select("m", F.when(F.col("rr").isNull(), F.col("r")).otherwise(F.least("r", "rr")).alias("next"), "r", "rr", (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "chains")
         moved = q.where("rr is not null and next <> r").limit(1).count()
-        p = q.select("m", F.col("next").alias("r"))
+        p = q.select("m", F.col("next").alias("r"), "hops")
         if not moved:
             break
-    return p.select("m.conv_id", "m.turn", F.col("r.conv_id").alias("root_conv"), F.col("r.turn").alias("root_turn"))
+    return p.select("m.conv_id", "m.turn", F.col("r.conv_id").alias("root_conv"), F.col("r.turn").alias("root_turn"), "hops")
 
 
 def format_chat(messages: DataFrame) -> DataFrame:
@@ -118,11 +119,11 @@ def format_chat(messages: DataFrame) -> DataFrame:
     out = p.join(linked, ["conv_id", "turn", "id"], "left").join(roots, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", F.col("own").alias("text"), F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_conv", "parent_turn",
-        F.coalesce("root_conv", "conv_id").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("own", F.lit("")), F.lit("<|end|>\n")).alias("formatted"),
+        F.coalesce("root_conv", "conv_id").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("hops", F.lit(0)).cast("long").alias("hops"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("own", F.lit("")), F.lit("<|end|>\n")).alias("formatted"),
     )
 
 
 def write_chats(messages: DataFrame, path: str) -> None:
     """The formatted turns as text files, conversation after conversation in reply order; sorted by ranges, so one conversation may fill several files."""
     turns = format_chat(messages)
-    turns.repartitionByRange("root_conv", "root_turn", "turn").sortWithinPartitions("root_conv", "root_turn", "turn", "formatted").select(F.expr("substring(formatted, 1, length(formatted) - 1)")).write.text(path)
+    turns.repartitionByRange("root_conv", "root_turn", "hops", "turn").sortWithinPartitions("root_conv", "root_turn", "hops", "turn", "conv_id", "formatted").select(F.expr("substring(formatted, 1, length(formatted) - 1)")).write.text(path)

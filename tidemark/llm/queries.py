@@ -94,6 +94,29 @@ WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\
               WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = a.doc_id AND g.p = a.p) GROUP BY doc_id)
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM doc LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op3_chat_format": r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, md5(coalesce(text, '')) AS id, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+x AS (SELECT DISTINCT conv_id, turn, id, l, pos FROM (SELECT conv_id, turn, id, unnest(ls) AS l, unnest(range(len(ls))) AS pos FROM m)),
+y AS (SELECT conv_id, turn, id, pos, length(regexp_extract(l, '^[ \t]*>(?:[ \t]*>)*[ \t]?')) - length(replace(regexp_extract(l, '^[ \t]*>(?:[ \t]*>)*[ \t]?'), '>', '')) AS level, regexp_replace(l, '^[ \t]*>(?:[ \t]*>)*[ \t]?', '') AS body FROM x),
+z AS (SELECT *, level = 0 AND NOT (coalesce(lead(level) OVER (PARTITION BY conv_id, turn, id ORDER BY pos), 0) > 0 AND regexp_matches(body, '(?i)(?:wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$')) AS own,
+             md5(lower(trim(regexp_replace(body, '\s+', ' ', 'g')))) AS h, trim(regexp_replace(body, '\s+', ' ', 'g')) <> '' AS said FROM y),
+own_text AS (SELECT conv_id, turn, id, bool_and(own) AS plain, regexp_replace(regexp_replace(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE own), '\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM z GROUP BY conv_id, turn, id),
+q AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, id, level ORDER BY pos) AS island FROM z WHERE level > 0 AND said AND conv_id IS NOT NULL AND turn IS NOT NULL),
+o AS (SELECT DISTINCT conv_id, turn, h FROM z WHERE own AND said AND conv_id IS NOT NULL AND turn IS NOT NULL),
+f AS (SELECT h, min((conv_id, turn)) AS first FROM o GROUP BY h),
+hit AS (SELECT q.conv_id, q.turn, q.id, q.level, q.island, (SELECT max(o.turn) FROM o WHERE o.conv_id = q.conv_id AND o.h = q.h AND o.turn < q.turn) AS here, f.first FROM q LEFT JOIN f ON f.h = q.h),
+vote AS (SELECT conv_id, turn, id, level, island, CASE WHEN here IS NOT NULL THEN conv_id WHEN first[1] <> conv_id THEN first[1] END AS to_conv, CASE WHEN here IS NOT NULL THEN here WHEN first[1] <> conv_id THEN first[2] END AS to_turn, count(*) AS n FROM hit GROUP BY ALL),
+passage AS (SELECT conv_id, turn, id, level, island, sum(n) AS lines, max((n, to_conv = conv_id, to_turn, to_conv)) FILTER (WHERE to_turn IS NOT NULL) AS b FROM vote GROUP BY ALL),
+counts AS (SELECT conv_id, turn, id, sum(lines) AS n_quoted, sum(coalesce(b[1], 0)) AS n_linked FROM passage GROUP BY ALL),
+best AS (SELECT conv_id, turn, id, max((n, to_conv = conv_id, to_turn, to_conv)) AS b FROM (SELECT conv_id, turn, id, b[4] AS to_conv, b[3] AS to_turn, sum(b[1]) AS n FROM passage WHERE level = 1 AND b IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+parent AS (SELECT conv_id, turn, min((b[4], b[3])) AS p FROM best GROUP BY ALL),
+chain AS (SELECT conv_id, turn, p, 1 AS d, CAST(p[1] <> conv_id AS BIGINT) AS hops FROM parent UNION ALL SELECT c.conv_id, c.turn, n.p, c.d + 1, c.hops + CAST(n.p[1] <> c.p[1] AS BIGINT) FROM chain c JOIN parent n ON n.conv_id = c.p[1] AND n.turn = c.p[2] WHERE c.d < 1000),
+root AS (SELECT conv_id, turn, arg_max(p, d) AS r, arg_max(hops, d) AS hops FROM chain GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN plain THEN m.text ELSE t END AS text, CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
+       b[4] AS parent_conv, b[3] AS parent_turn, coalesce(r[1], m.conv_id) AS root_conv, coalesce(r[2], m.turn) AS root_turn, coalesce(root.hops, 0) AS hops,
+       '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || coalesce(CASE WHEN plain THEN m.text ELSE t END, '') || '<|end|>' || chr(10) AS formatted
+FROM m LEFT JOIN own_text USING (conv_id, turn, id) LEFT JOIN counts USING (conv_id, turn, id) LEFT JOIN best USING (conv_id, turn, id) LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn
 """,
     "op8_decontamination": rf"""
 WITH item AS (SELECT item_id, {_WORDS8} AS w FROM benchmark WHERE text IS NOT NULL),

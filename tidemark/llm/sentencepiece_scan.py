@@ -273,14 +273,13 @@ def _unpack(rows: int, cols: int, free: bytes) -> np.ndarray:
     return np.where(np.unpackbits(np.frombuffer(free, np.uint8))[: rows * cols].reshape(rows, cols), 0.0, NEVER)
 
 
-_loaded: dict[int, Pieces] = {}
+_loaded: list[tuple[object, Pieces]] = []
 
 
 def _pieces(shared) -> Pieces:
-    if id(shared) not in _loaded:
-        _loaded.clear()
-        _loaded[id(shared)] = Pieces(shared.value)
-    return _loaded[id(shared)]
+    if not _loaded or _loaded[0][0] is not shared:
+        _loaded[:] = [(shared, Pieces(shared.value))]
+    return _loaded[0][1]
 
 
 MATRIX = "row long, i long, rows int, cols int, free binary"

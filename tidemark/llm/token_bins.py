@@ -295,16 +295,15 @@ class Encoder:
         return self.ids[at], np.bincount(text, n, len(off) - 1).astype(np.int64)
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: list[tuple[object, Encoder]] = []
 
 
 def _encoder(shared) -> Encoder:
     from tokenizers import Tokenizer
 
-    if id(shared) not in _encoders:
-        _encoders.clear()
-        _encoders[id(shared)] = Encoder(Tokenizer.from_str(shared.value))
-    return _encoders[id(shared)]
+    if not _encoders or _encoders[0][0] is not shared:
+        _encoders[:] = [(shared, Encoder(Tokenizer.from_str(shared.value)))]
+    return _encoders[0][1]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, path: str | None = None) -> list[dict]:
