@@ -161,9 +161,10 @@ def sent_segments(docs: DataFrame, shape: Shape, hot: int = HOT) -> DataFrame:
             nonlocal held
             out = list(waiting.values())
             cols = list(zip(*out)) or [()] * 4
-            done = list(zip(*spans)) or [()] * 4
+            whole = merged(spans)
+            done = list(zip(*whole)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(cols[0]) + [None] * len(spans), pa.int64()), pa.array([*cols[1], *done[0]], pa.int64()), pa.array([*cols[2], *done[1]], pa.int64()), pa.array([*cols[3], *done[2]], pa.int32()), pa.array([*waiting, *done[3]], pa.binary())],
+                [pa.array(list(cols[0]) + [None] * len(whole), pa.int64()), pa.array([*cols[1], *done[0]], pa.int64()), pa.array([*cols[2], *done[1]], pa.int64()), pa.array([*cols[3], *done[2]], pa.int32()), pa.array([*waiting, *(n.to_bytes(4, "little") for n in done[3])], pa.binary())],
                 names=["key", "did", "h", "first", "seg"],
             )
             waiting.clear()
@@ -215,15 +216,28 @@ def sent_segments(docs: DataFrame, shape: Shape, hot: int = HOT) -> DataFrame:
                     least, other = (new, old) if new[1:] < old[1:] else (old, new)
                     waiting[seg] = least
                     for g in (other,) if shape.words else (other, least):
-                        spans.append((g[1], g[2], g[3], n.to_bytes(4, "little")))
-                if len(spans) > 50_000:
-                    yield from flush()
+                        spans.append((g[1], g[2], g[3], n))
+                if len(spans) > 200_000:
+                    spans[:] = merged(spans)
+                    if len(spans) > 100_000:
+                        yield from flush()
         yield from flush()
         K.release()
 
     return joined.select("did", "h", "text", "places").mapInArrow(run, SENT)
 
 
+def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans (did, h, first, n) with those of a document that touch or overlap made one."""
+    out: list[tuple[int, int, int, int]] = []
+    for did, h, first, n in sorted(spans):
+        if out and out[-1][0] == did and out[-1][1] == h and first <= (end := out[-1][2] + out[-1][3]):
+            out[-1] = (did, h, out[-1][2], max(end, first + n) - out[-1][2])
+        else:
+            out.append((did, h, first, n))
+    return out
+
+
 def normalised(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The block's words, those of a text joined by one space, and where each begins and ends in it."""
     keep = K.NOT_SPACE[b.data]
@@ -249,7 +263,7 @@ def decided(sent: DataFrame, judge: Callable[[list], Iterator[tuple[int, int, in
         spans: list[tuple] = []
 
         def out():
-            cols = list(zip(*spans)) or [()] * 4
+            cols = list(zip(*merged(spans))) or [()] * 4
             spans.clear()
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["did", "h", "first", "n"])
 
@@ -264,7 +278,7 @@ def decided(sent: DataFrame, judge: Callable[[list], Iterator[tuple[int, int, in
                 held.append(tuple(seg))
                 size += len(seg[3])
                 last = key
-                if len(spans) >= 50_000:
+                if len(spans) >= 200_000:
                     yield out()
         if held:
             spans.extend(judge(held))

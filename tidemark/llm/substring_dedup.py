@@ -36,7 +36,7 @@ from . import anchors as A
 from . import kernels as K
 
 WINDOW_WORDS = 20
-ANCHOR_WORDS = 6
+ANCHOR_WORDS = 5
 DIGEST = "did long, h long, n_words long, n_removed long, kept_sha256 string"
 
 
