@@ -43,6 +43,16 @@ SCALAR: dict[str, tuple[str, str | None]] = {
         "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS k1, json_extract_string(props, '$.none') AS missing FROM events",
     ),
     "fn_hash": ("SELECT p_partkey, md5(p_name) AS a, sha2(p_name, 256) AS b, p_partkey & 12 AS c, p_partkey | 3 AS d, shiftleft(p_partkey, 2) AS e, shiftright(p_partkey, 1) AS f, p_partkey ^ 5 AS g, hex(p_name) AS h, base64(CAST(p_name AS BINARY)) AS i FROM part", "SELECT p_partkey, md5(p_name) AS a, sha256(p_name) AS b, p_partkey & 12 AS c, p_partkey | 3 AS d, p_partkey << 2 AS e, p_partkey >> 1 AS f, xor(p_partkey, 5) AS g, hex(p_name) AS h, to_base64(encode(p_name)) AS i FROM part"),
+    "fn_timestamp": (
+        "SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS a, CAST(timestamp_seconds(event_id * 60) AS TIMESTAMP_NTZ) AS b, to_timestamp_ntz('2024-05-06 07:08:09') AS c, date_format(ts, 'yyyy-MM-dd HH:mm') AS d, CAST(hour(ts) AS BIGINT) AS e, CAST(weekday(ts) + 1 AS BIGINT) AS f, make_timestamp_ntz(2024, 2, 29, 1, 2, 3) AS g, CAST(unix_seconds(CAST(ts AS TIMESTAMP)) AS BIGINT) AS h FROM events WHERE event_id < 2000",
+        "SELECT event_id, date_trunc('hour', ts) AS a, TIMESTAMP '1970-01-01' + to_seconds(event_id * 60) AS b, TIMESTAMP '2024-05-06 07:08:09' AS c, strftime(ts, '%Y-%m-%d %H:%M') AS d, CAST(hour(ts) AS BIGINT) AS e, CAST(isodow(ts) AS BIGINT) AS f, make_timestamp(2024, 2, 29, 1, 2, 3) AS g, CAST(floor(epoch(ts)) AS BIGINT) AS h FROM events WHERE event_id < 2000",
+    ),
+    "fn_encode": (
+        "SELECT p_partkey, decode(unhex(hex(encode(p_name, 'UTF-8'))), 'UTF-8') AS a, decode(unbase64(base64(encode(p_brand, 'UTF-8'))), 'UTF-8') AS b, length(sha2(p_name, 224)) AS c, sha2(p_name, 384) IS NOT NULL AS d, typeof(p_partkey) AS e FROM part",
+        "SELECT p_partkey, decode(unhex(hex(p_name))) AS a, decode(from_base64(to_base64(encode(p_brand)))) AS b, CAST(56 AS INT) AS c, true AS d, lower(typeof(p_partkey)) AS e FROM part",
+    ),
+    "fn_null_logic": ("SELECT n_nationkey, NULLIF(n_regionkey, 1) IS NULL AS a, NULLIF(n_regionkey, 1) = 1 AS b, (NULLIF(n_regionkey, 1) = 2) IS NOT TRUE AS c, NULLIF(n_regionkey, 1) IS DISTINCT FROM 2 AS d, coalesce(NULL, NULLIF(n_regionkey, 1), -1) AS e, CASE WHEN CAST(NULL AS BOOLEAN) THEN 1 ELSE 0 END AS f FROM nation", None),
+    "fn_width_bucket": ("SELECT CAST(width_bucket(o_totalprice, 0, 500000, 10) AS BIGINT) AS b, COUNT(*) AS n FROM orders GROUP BY 1", "SELECT CAST(least(floor(o_totalprice / 50000) + 1, 11) AS BIGINT) AS b, COUNT(*) AS n FROM orders GROUP BY 1"),
 }
 
 _FNV = """
