@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import bounded_batches
+from .shared import bounded_batches, cut
 
 NULL_ID = -(1 << 63)
 HOT = 20_000
+#: Hot anchors are known to every task (16 bytes each) if there are at most so many.
+MAX_BROADCAST = 200_000
 #: Distinct segments of a task wait for equal ones up to so many bytes.
 COMBINE_BYTES = 12 << 20
 #: Segments of neighbouring keys are worked on together up to so many bytes.
@@ -135,8 +137,15 @@ def anchor_places(docs: DataFrame, shape: Shape) -> DataFrame:
 def repeated_places(docs: DataFrame, shape: Shape, hot: int = HOT) -> DataFrame:
     """(did, h, places): per document its anchor places whose k-gram anchors elsewhere too, as 2 * place + (1 if hot)."""
     spots = anchor_places(docs, shape)
-    counts = spots.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-    spots = spots.join(counts, "a").select("did", "h", (F.col("place").cast("long") * 2 + (F.col("n") > hot).cast("long")).alias("place"))
+    counts = cut(spots.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    many = counts.where(F.col("n") > hot).select("a", F.lit(True).alias("hot"))
+    if many.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        # places of hot anchors are settled where they are, and go on under keys of their own
+        spots = spots.join(F.broadcast(many), "a", "left").withColumn("a", F.when(F.col("hot"), F.xxhash64("did", "h", "place", F.lit(1))).otherwise(F.col("a")))
+        spots = spots.join(counts, "a", "left").where("hot or n > 1")
+    else:
+        spots = spots.join(counts, "a").withColumn("hot", F.col("n") > hot)
+    spots = spots.select("did", "h", (F.col("place").cast("long") * 2 + F.coalesce("hot", F.lit(False)).cast("long")).alias("place"))
     return spots.groupBy("did", "h").agg(F.collect_list("place").alias("places"))
 
 
