@@ -236,6 +236,11 @@ def test_main_text():
     assert html_extract.main_text("plain &lt;text&gt;") == "plain <text>"
 
 
+def test_marks_inside_an_article():
+    inner = '<div class="post-header"><h1>Title</h1></div><div class="side-by-side">Text</div><div class="comment-list">Nice</div><div id="ad_1">Buy</div><section class="related-posts">More</section><p hidden>Gone</p><p>End</p>'
+    assert html_extract.main_text(f'<body><div class="page-header">Site</div><article class="post">{inner}</article></body>') == "Title\nText\nEnd"
+
+
 def test_main_text_by_ratio():
     link = "<div><a href=1>a</a> <a href=2>b</a> <a href=3>c</a></div>"
     para = "<p>" + "word " * 60 + "</p>"

@@ -40,7 +40,9 @@ BOILERPLATE = frozenset("head title nav footer aside form script style noscript
 #: Headings.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role values that mark menus, notices, adverts and comments.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side|widget\w*|footer\w*|header|masthead|toolbar|share|sharing|social|related|recommended|comments?|comment-\w+|disqus\w*|replies|reply|respond|login|search|skip|complementary|contentinfo|banner|navigation|dialog|hidden)(?:$|[\s_-])", re.I)
+MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|widget\w*|footer\w*|toolbar|share|sharing|social|related|recommended|comments?|comment-\w+|disqus\w*|replies|reply|respond|login|search|skip|complementary|contentinfo|banner|navigation|dialog|hidden)(?:$|[\s_-])", re.I)
+#: Words of class, id and role values that mark boilerplate outside of an article only.
+OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|side|hero)(?:$|[\s_-])", re.I)
 #: Values of class, id and itemprop that mark the article itself.
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article-?body|post-?(?:body|content)|entry-?content|main-?content|story-?body)(?:$|[\s_-])", re.I)
 SIGMA = 1.0
@@ -90,7 +92,7 @@ class _Lines(HTMLParser):
             bad = not self.good
         for name, value in attrs:
             if value and name in ("class", "id", "role", "itemprop", "hidden") or name == "hidden":
-                if name == "hidden" or name == "role" and value == "search" or tag not in ("html", "body", "article", "main") and MARKED.search(value):
+                if name == "hidden" or name == "role" and value == "search" or tag not in ("html", "body", "article", "main") and (MARKED.search(value) or not self.good and OUTSIDE.search(value)):
                     bad = True
                 elif ARTICLE.search(value) or name == "role" and value == "main":
                     good = True
