@@ -72,6 +72,19 @@ def test_repeated_ids_and_rows(spark):
     assert substring_dedup.without_repeats(df).count() == 5
 
 
+def test_drop_tables(spark):
+    from tidemark.llm import shared
+
+    shared.drop_tables(spark)
+    df = shared.cut(spark.range(5).toDF("x"), "mine")
+    assert df.count() == 5
+    home = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}")
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert fs.exists(home)
+    shared.drop_tables(spark)
+    assert not fs.exists(home)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for f in (substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, near_dedup.near_dedup, substring_dedup.without_repeats, near_dedup.one_of_each):
