@@ -32,7 +32,7 @@ from . import kernels as K
 from .shared import bounded_batches, cut
 
 NULL_ID = -(1 << 63)
-HOT = 20_000
+HOT = 4_000
 #: Hot anchors are known to every task (16 bytes each) if there are at most so many.
 MAX_BROADCAST = 200_000
 #: Distinct segments of a task wait for equal ones up to so many bytes.
