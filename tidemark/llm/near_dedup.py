@@ -14,13 +14,13 @@ doc_id.
 
 Large groups are not paired off.  Equal texts are one.  In each bucket every text
 is first paired with the bucket's smallest only; links found that way give
-components; then, in buckets that still hold several components, pairs from
-different components whose sketches agree often enough are verified as well, so
-that a link that joins two components is not missed because its ends did not link
-to the smallest.  Such a pair is verified only if it can be linked at all: k-mers
-that no other text of these buckets has can't be matched, so both texts need
-enough others.  That settles, without pairing them, most copies of one original
-that are just too far from it and from each other.
+components; then, in buckets that still hold several components, texts from
+different components are compared as well, so that a link that joins two
+components is not missed because its ends did not link to the smallest.  Only
+texts that can be linked at all take part: k-mers that no other text of these
+buckets has can't be matched, so a text needs enough others.  The comparison is an
+exact count of common k-mers by an index inside the task, which puts out no more
+than the links that join components.
 
 A link of similarity s meets in a bucket with a chance of about
 1 - (1 - s**TAKEN)**TABLES: 0.999997 at 0.8.
