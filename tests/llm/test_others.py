@@ -247,6 +247,15 @@ def test_main_text_by_ratio():
     assert html_extract.main_text(f"<body>{link * 4}<h2>Title</h2>{para * 3}{link * 4}</body>") == "\n".join(["Title"] + [("word " * 60).strip()] * 3)
 
 
+def test_ratio_decides_on_marked_pages_too():
+    text = ("word " * 60).strip()
+    para, teaser = f"<p>{text}</p>", "<article><a href=1>More</a> <a href=2>on</a> <a href=3>this</a></article>"
+    few = "<div><a href=1>a</a> <a href=2>b</a> <a href=3>c</a></div>"
+    assert html_extract.main_text(f"<body>{teaser * 4}{few * 2}{para * 3}{few * 2}{teaser * 4}</body>") == "\n".join([text] * 3)
+    assert html_extract.main_text(f"<body>{few * 3}<article><h1>T</h1>{para * 2}<p>End.</p></article>{para * 2}{few * 3}</body>") == "\n".join(["T", text, text, "End.", text, text])
+    assert html_extract.main_text(f"<body><main>{teaser * 4}{few}{para * 3}{few}<p>End.</p></main></body>").split("\n")[1:-2] == [text] * 3
+
+
 def test_smoothing_and_threshold():
     r = np.array([0.0, 0, 10, 10, 10, 0, 0])
     s = html_extract.smoothed(r)

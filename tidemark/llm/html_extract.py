@@ -8,9 +8,10 @@ footers, sidebars, forms, scripts, notices, adverts, reader comments).  Lines of
 the second kind go at once.  For the rest the ratio of characters to tags is
 smoothed over neighbouring lines with a Gaussian, and a threshold that clusters
 the ratios into two groups (the best split by variance between them) selects
-content lines.  A page that marks its article keeps the article's lines, short
-ones too; the threshold decides where no such mark is given, where a heading
-directly above selected lines stays with them.
+content lines, on every page.  A mark is evidence: if a marked element holds a
+selected line, its short lines and headings stay as well, except those in marked
+elements inside of it that hold none (teasers).  A heading directly above selected
+lines stays with them.
 
 Defined cases: a null or empty page, or one without any text, gives the empty
 string; unclosed and stray tags close at the next element that can't stand inside
@@ -53,22 +54,23 @@ APART = 0.7
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines of (text, tags, in article, heading); boilerplate elements leave none."""
+    """Cuts a page into lines of (text, tags, marked elements, heading); boilerplate elements leave none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
-        self.bad = self.good = 0
+        self.bad = self.marks = 0
+        self.good: list[int] = []  # the marked elements that are open, outermost first
         self.text: list[str] = []
         self.tags = 0
         self.heading = False
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
 
     def close_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, self.good > 0, self.heading))
+                self.lines.append((text, self.tags, tuple(self.good), self.heading))
             self.text.clear()
         self.tags, self.heading = 0, False
 
@@ -98,12 +100,15 @@ class _Lines(HTMLParser):
                     good = True
         self.open.append((tag, bad, good))
         self.bad += bad
-        self.good += good
+        if good:
+            self.good.append(self.marks)
+            self.marks += 1
 
     def _pop(self) -> None:
         _, bad, good = self.open.pop()
         self.bad -= bad
-        self.good -= good
+        if good:
+            self.good.pop()
 
     def _shut(self, tag: str, up_to: frozenset[str]) -> None:
         """Ends an open element of this name that isn't outside of one in up_to."""
@@ -135,8 +140,8 @@ class _Lines(HTMLParser):
             self.text.append(data)
 
 
-def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, tags, in article, heading) of each line with text outside boilerplate."""
+def page_lines(html: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
+    """(text, tags, marked elements around it, heading) of each line with text outside boilerplate."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -173,11 +178,10 @@ def main_text(html: str | None) -> str:
     keep = (level >= threshold(level)) & (ratio >= LEAST)
     if keep.all() or not keep.any() or level[keep].mean() - level[~keep].mean() < APART:
         keep[:] = True  # one cluster: nothing sets some lines apart
+    holds = {m for x, k in zip(lines, keep) if k for m in x[2]}
+    keep |= np.array([bool(x[2]) and x[2][-1] in holds for x in lines])
     for i in range(len(lines) - 2, -1, -1):
         keep[i] |= lines[i][3] and keep[i + 1]
-    marked = np.array([x[2] for x in lines])
-    if marked.any():
-        keep = marked
     return "\n".join(x[0] for x, k in zip(lines, keep) if k)
 
 
