@@ -42,6 +42,17 @@ def test_contamination(spark, bound):
     assert stays == {k for k, v in want.items() if not v[-1]}
 
 
+@pytest.mark.parametrize("bound", [1 << 20, 10])
+def test_contamination_by_row(spark, bound):
+    """Null and repeated ids: only the contaminated rows go."""
+    bad, good = TEXTS[4], "nothing of it"
+    rows = [(None, bad, "a"), (None, good, "b"), (None, None, "c"), (7, good, "d"), (7, bad, "e"), (7, good, "d"), (8, bad, "f")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, tag string").repartition(3)
+    out = decontaminate.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id int, text string"), max_broadcast_bytes=bound)
+    assert out.columns == docs.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str(x) for x in rows if x[1] != bad)
+
+
 def test_contaminated_spans_go(spark):
     docs, bench = frame(spark, TEXTS), spark.createDataFrame(ITEMS, "item_id int, text string")
     got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, "spans").collect()}

@@ -119,7 +119,8 @@ def score_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_W
     """One row per document: n_words, n_hit, n_items, items_sha256 and the verdict."""
     lists = _item_blocks(benchmark, max_broadcast_bytes)
     if len(lists) > 1:
-        return _score_in_blocks(docs, lists, n)
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        return _score_in_blocks(cut(rows, "decontaminate-docs"), lists, n).drop("row")
     windows = _windows(docs, lists[0], n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +145,10 @@ def score_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_W
 
 
 def _score_in_blocks(docs: DataFrame, lists: list, n: int) -> DataFrame:
-    """The same rows for a benchmark beyond the broadcast bound: each block's spans, united per document row."""
-    docs = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "decontaminate-docs")
+    """The same rows, with their key row, for a benchmark beyond the broadcast bound: each block's spans, united per document row.
+
+    docs: row, doc_id, text, as they lie in a table, so that a row keeps its key.
+    """
     parts = []
     for items in lists:
         windows = _windows(docs, items, n)
@@ -170,7 +173,7 @@ def _score_in_blocks(docs: DataFrame, lists: list, n: int) -> DataFrame:
     count = F.expr(r"size(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0))")
     out = docs.select("row", "doc_id", F.coalesce(F.greatest(count, F.lit(0)), F.lit(0)).cast("long").alias("n_words")).join(hit, "row", "left").join(ids, "row", "left")
     ids = F.coalesce(F.col("ids"), F.array().cast("array<string>"))
-    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
+    out = out.select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -187,10 +190,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
         raise ValueError(f"unknown action {action!r}")
     lists = _item_blocks(benchmark, max_broadcast_bytes)
     if len(lists) > 1 and action == "documents":
-        docs = cut(docs, "decontaminate-in")
-        # rows of one id stand together: an id is dropped if any of its rows is contaminated
-        bad = _score_in_blocks(docs, lists, n).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+        docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-in")
+        rows = docs.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        bad = _score_in_blocks(rows, lists, n).where("contaminated").select(F.col("row").alias("__row"))
+        return docs.join(bad, "__row", "left_anti").drop("__row")
     for items in lists:
         windows = _windows(docs, items, n)
 
