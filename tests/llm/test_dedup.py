@@ -200,6 +200,14 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == sorted([(None, None), (None, None), (3, 3), (3, 3), (4, 3), (5, 5), (6, 6)], key=str)
 
 
+def test_second_text_of_a_copy(spark):
+    """An id with a copy of a smaller id's text and a text of its own, of which another has a near copy."""
+    one, two = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    rows = [(1, one), (5, one), (5, two), (9, two + " more")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(1, 1), (5, 1), (9, 1)}
+
+
 def test_alignment():
     rng = np.random.RandomState(1)
     for _ in range(200):

@@ -279,8 +279,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sk = cut(_sketched(d.withColumn("same", F.unhex(F.md5("text")))), "sketches")
     # equal texts are one: the smallest id stands for them
     head = sk.groupBy("same").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
-    copies = cut(sk.select("id", "same").join(head.where("copies > 1").select("same", "head"), "same").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "copies")
-    reps = sk.join(copies.select(F.col("a").alias("id")).distinct(), "id", "left_anti") if copies.limit(1).count() else sk
+    copies = cut(sk.select("id", "same").join(head.where("copies > 1").select("same", "head"), "same").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"), "same").distinct(), "copies")
+    # an id's other texts stay
+    reps = sk.join(copies.select(F.col("a").alias("id"), "same"), ["id", "same"], "left_anti") if copies.limit(1).count() else sk
     rows = reps.select("id", F.explode("keys").alias("key"))
     least = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
     met = cut(rows.join(least, "key").distinct(), "buckets")
@@ -298,7 +299,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     able = sides.where((F.col("n") - F.coalesce("own", F.lit(0))) >= similarity * F.col("n") - 1e-9).select("id").distinct()
     open_ = _split(open_.join(able, "id", "left_semi"))
     more = cut(_across(open_.join(texts, "id").select("key", "id", "root", "text"), similarity), "links")
-    edges = copies.union(links).union(more)
+    edges = copies.select("a", "b").distinct().union(links).union(more)
     found = components(edges)
     return found.select(F.col("node").alias("id"), F.col("root").alias("class_id"))
 
