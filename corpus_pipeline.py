@@ -25,15 +25,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_dedup.one_of_each(docs)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of 20-word passages that start earlier."""
-    out = substring_dedup.without_repeats(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return _counted(substring_dedup.without_repeats(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a contaminating share of benchmark passages."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a contaminating share of benchmark passages; the passages of the others are cut out of their text."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _counted(decontaminate.decontaminate(decontaminate.decontaminate(docs, benchmark), benchmark, "spans"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,14 @@ def test_stages(spark):
             assert set(after) == set(before) and all(r.round_trip for r in after.values())
         sent[name] = len(after)
     assert docs.count() == P.run(spark, SF).count() == sent["sentencepiece"] > 100
+
+
+def test_passages_below_the_share_are_cut(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(15))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain, some = "x " * 300 + "end", "x " * 300 + item + ", y " * 300 + "end"
+    rows = [(1, plain, len(plain)), (2, some, len(some)), (3, item, len(item)), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    want = some.replace(item, "")
+    got = sorted(map(tuple, P.drop_contaminated(spark, docs, str(tmp_path)).collect()))
+    assert got == [rows[0], (2, want, len(want)), rows[3]]
