@@ -24,6 +24,10 @@ than the links that join components.
 
 A link of similarity s meets in a bucket with a chance of about
 1 - (1 - s**TAKEN)**TABLES: 0.999997 at 0.8.
+That holds for long texts.  The minima are drawn without
+replacement, so short texts miss more: of links of 0.8 with m common k-mers of u,
+(1 - C(m, 4) / C(u, 4))**24 never meet: 0.5 % for 4 of 5 (8 and 9 words), 6e-5 for
+8 of 10, 1.2e-5 for 16 of 20.
 
 Defined cases: texts without words (null, empty) are each a class of their own;
 a text of one to four words is one k-mer; rows with equal text are one class;
