@@ -37,8 +37,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a contaminating share of benchmark passages; the passages of the others are cut out of their text."""
-    benchmark = table(spark, sf_dir, "benchmark")
-    return _counted(decontaminate.decontaminate(decontaminate.decontaminate(docs, benchmark), benchmark, "spans"))
+    return _counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), "both"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,11 @@ ITEMS = [(1, "The quick brown fox jumps over the lazy dog and runs far away into
 TEXTS = [None, "", "nothing", "say: short-item here!", "x " * 30 + "the quick brown fox jumps over the lazy dog and runs far away now", "a b c d e f g h i j k l m n", "Short item here " * 3 + "y " * 400]
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 10])
+#: One block, a few, and one for each item.
+BOUNDS = [64 << 20, 500, 10]
+
+
+@pytest.mark.parametrize("bound", BOUNDS)
 def test_contamination(spark, bound):
     docs = frame(spark, TEXTS)
     bench = spark.createDataFrame(ITEMS, "item_id int, text string")
@@ -42,7 +46,7 @@ def test_contamination(spark, bound):
     assert stays == {k for k, v in want.items() if not v[-1]}
 
 
-@pytest.mark.parametrize("bound", [1 << 20, 10])
+@pytest.mark.parametrize("bound", BOUNDS)
 def test_contamination_by_row(spark, bound):
     """Null and repeated ids: only the contaminated rows go."""
     bad, good = TEXTS[4], "nothing of it"
@@ -53,15 +57,52 @@ def test_contamination_by_row(spark, bound):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(str(x) for x in rows if x[1] != bad)
 
 
-def test_contaminated_spans_go(spark):
+@pytest.mark.parametrize("bound", BOUNDS)
+def test_contaminated_spans_go(spark, bound):
     docs, bench = frame(spark, TEXTS), spark.createDataFrame(ITEMS, "item_id int, text string")
-    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, "spans").collect()}
-    assert got[0] is None and got[2] == "nothing" and got[3] == "say: !" and got[5] == ""
-    assert got[6] == "  y " .lstrip() + "y " * 399 or brute.contamination([(0, got[6])], [(i, t) for i, t in ITEMS])[0][1] == 0
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, "spans", max_broadcast_bytes=bound).collect()}
+    assert got == {0: None, 1: "", 2: "nothing", 3: "say: !", 4: "x " * 30 + " now", 5: "", 6: " " + "y " * 400}
     with pytest.raises(ValueError):
         decontaminate.decontaminate(docs, bench, "other")
 
 
+@pytest.mark.parametrize("bound", BOUNDS)
+def test_spans_of_several_blocks_are_cut_at_once(spark, bound):
+    """Windows of two items overlap, a cut brings a third window together, ids are null and repeated: no hit is left, rows stay apart."""
+    items = [(1, "a b c d"), (2, "c d e f"), (3, "p q r"), (4, "g h")]
+    texts = ["x a b c d e f y " + "z " * 200, "p a b c d q r " + "z " * 200, "g h", "G-H a b q", None, "p a b g h c d q r " + "z " * 200]
+    rows = [(i, t, f"tag{j}") for j, (i, t) in enumerate(zip([None, None, 7, 7, 7, 7], texts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["size"]: (r.doc_id, r.text) for r in decontaminate.decontaminate(docs, bench, "spans", max_broadcast_bytes=bound).collect()}
+    z = "z " * 200
+    assert got == {"tag0": (None, "x  y " + z), "tag1": (None, " " + z), "tag2": (7, ""), "tag3": (7, " a b q"), "tag4": (7, None), "tag5": (7, " " + z)}
+    both = decontaminate.decontaminate(docs, bench, "both", max_broadcast_bytes=bound)
+    assert both.columns == docs.columns
+    assert {r["size"]: (r.doc_id, r.text) for r in both.collect()} == {k: v for k, v in got.items() if k in ("tag0", "tag1", "tag4", "tag5")}
+
+
+def test_window_set_is_flat():
+    """What a set takes is what its bound counts, and equal hashes are told apart by their words."""
+    rng = random.Random(3)
+    items = [(str(i), " ".join(f"w{rng.randrange(5000)}" for _ in range(400))) for i in range(200)]
+    windows = decontaminate.WindowSet(items)
+    cost = sum(len(t) + 24 * 400 + 60 + len(i) for i, t in items)
+    assert windows.nbytes() <= cost + sum(b.nbytes for b in windows.bits.values()) and windows.nbytes() < 8 * sum(len(t) for _, t in items)
+    size = next(iter(windows.windows))
+    h, place, length, item = windows.windows[size]
+    windows.windows[size] = (np.zeros_like(h), place, length, item)  # all hashes meet
+    windows.bits[size][:] = True
+    data, starts, ends = decontaminate._item_words(items[3][1])
+    K_zero = decontaminate.K.window_hashes
+    decontaminate.K.window_hashes = lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64)
+    try:
+        found = windows.find(data, starts[:20], ends[:20], np.zeros(20, np.int64))
+    finally:
+        decontaminate.K.window_hashes = K_zero
+    assert [(k, n, x) for k, n, x in found] == [(k, 13, {"3"}) for k in range(8)]
+
+
 def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert found(decontaminate.score_contamination(frame(spark, ["a b"]), none), "n_hit", "contaminated") == {0: (0, False)}

@@ -29,6 +29,8 @@ def test_stages(spark):
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             assert set(after) == {k for k, v in brute.contamination(pairs, items).items() if not v[-1]}
+            assert not any(v[1] for v in brute.contamination([(k, r.text) for k, r in after.items()], items).values())
+            assert all(r.n_chars == len(r.text) for r in after.values())
         else:
             assert set(after) == set(before) and all(r.round_trip for r in after.values())
         sent[name] = len(after)
@@ -44,3 +46,16 @@ def test_passages_below_the_share_are_cut(spark, tmp_path):
     want = some.replace(item, "")
     got = sorted(map(tuple, P.drop_contaminated(spark, docs, str(tmp_path)).collect()))
     assert got == [rows[0], (2, want, len(want)), rows[3]]
+
+
+def test_odd_documents(spark, tmp_path):
+    """Null texts, ids and repeated rows go through all stages; so does a table without rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a b", "en", "s", 3), (5, None, "en", "s", None), (5, "", "en", "s", 0), (5, "", "en", "s", 0)], docs.schema)
+    for name, rows in (("odd", docs.limit(60).union(odd)), ("none", docs.where("false"))):
+        sf = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{sf}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{sf}/{t}.parquet")
+        out = P.run(spark, sf).collect()
+        assert all(r.round_trip for r in out) and bool(out) == (name == "odd")
