@@ -156,12 +156,16 @@ def test_position_deletes(spark, engine):
 
 
 @pytest.mark.parametrize("bad", [(None, 1), ("", 1), ("f", None), ("f", -1)])
-def test_bad_position_deletes(spark, engine, bad):
+def test_bad_position_deletes(spark, engine, tmp_path, bad):
     engine.create_from("t", spark.range(3).coalesce(1))
-    scan.add_deletes(engine.catalog, ("default", "t"), spark.createDataFrame([bad], "file_path string, pos long"))
-    snapshot = engine.catalog.load(("default", "t")).snapshot()
+    positions = spark.createDataFrame([bad], "file_path string, pos long")
     with pytest.raises(C.InvalidArgument):
-        scan.read_deletes(engine.catalog, snapshot["deletes"], [f["path"] for f in snapshot["files"]])
+        scan.add_deletes(engine.catalog, ("default", "t"), positions)
+    assert not engine.catalog.load(("default", "t")).snapshot()["deletes"]
+    positions.write.parquet(f"file://{tmp_path}/deletes")  # of another writer
+    engine.catalog.commit_snapshot(("default", "t"), "delete", [], deletes=[{"path": f"file://{tmp_path}/deletes", "rows": 1, "content": "position"}])
+    with pytest.raises(C.InvalidArgument):
+        engine.table("t")
 
 
 def test_writers_at_once_lose_nothing(spark, engine):
@@ -183,6 +187,70 @@ def test_replace_needs_its_base(engine):
         engine.catalog.set_property(("default", "t"), "k", "v", expected="other")
 
 
+def test_manifests(spark, engine):
+    """An append writes the files it adds; a delete of some rewrites their manifest only; many manifests become one."""
+    engine.create_from("t", spark.range(4).coalesce(1))
+    ident = ("default", "t")
+    for i in range(3):
+        append(engine.catalog, ident, spark.range(10 * i + 10, 10 * i + 12).coalesce(1))
+    snapshots = [engine.catalog.load(ident).snapshot(s["id"]) for s in engine.catalog.load(ident).state["snapshots"]]
+    assert [len(s["manifests"]) for s in snapshots] == [1, 2, 3, 4] and all(b["manifests"][: len(a["manifests"])] == a["manifests"] for a, b in zip(snapshots, snapshots[1:]))
+    gone = snapshots[-1]["files"][1]["path"]
+    after = engine.catalog.commit_snapshot(ident, "replace", [], {gone}).snapshot()
+    assert [m for m in after["manifests"] if m in snapshots[-1]["manifests"]] == [m for i, m in enumerate(snapshots[-1]["manifests"]) if i != 1] and len(after["manifests"]) == 3
+    maintain.expire(engine.catalog, ident, max_age=0)
+    names = {p.rsplit("/", 1)[1] for p, *_ in engine.catalog.store.list(engine.catalog.location(ident) + "/metadata") if "/files-" in p}
+    assert names == {f"{m}.json" for m, _ in after["manifests"]}
+    for i in range(C.MAX_MANIFESTS):
+        engine.catalog.commit_snapshot(ident, "append", [{"path": f"p{i}", "rows": 0, "bytes": 0}])
+    last = engine.catalog.load(ident).snapshot()
+    assert len(last["manifests"]) < 10 and len(last["files"]) == 3 + C.MAX_MANIFESTS
+
+
+def test_statistics_come_from_footers(spark, engine, monkeypatch):
+    """The same entries as by reading the rows; files of one hot partition value are written by several tasks."""
+    from tidemark.sources import files
+
+    df = spark.sql("SELECT id, CASE WHEN id % 10 < 9 THEN 'hot' ELSE concat('p', id % 3) END AS region, CASE WHEN id % 7 > 0 THEN id / 4 END AS x, cast(id AS decimal(9, 2)) AS d, date_add(DATE '2024-01-01', cast(id % 3 AS int)) AS day, timestamp_micros(id * 1000003) AS ts, id % 2 = 0 AS b, cast(null AS string) AS n, repeat(cast(id AS string), 3000) AS long, cast('z' AS binary) AS raw FROM range(300)")
+    engine.catalog.create_table(("default", "t"), C.columns_of(df.schema), [X.parse("region"), X.parse("truncate(50, id)"), X.parse("bucket(4, day)"), X.parse("hour(ts)"), X.parse("n")])
+    table = engine.catalog.load(("default", "t"))
+    entries = files.write_files(engine.catalog, ("default", "t"), files.conform(df.repartition(2), table), table)
+    read = files._read_again(spark, table.schema, table.partitions, {e["path"]: e["bytes"] for e in entries})
+    plain = lambda e: e | {"bounds": {k: v for k, v in e["bounds"].items() if k != "long"}, "nulls": {k: v for k, v in e["nulls"].items() if k != "long"}}
+    assert len(entries) > 10 and [plain(e) for e in entries] == [plain(e) for e in read]
+    assert all(e["bounds"]["long"] == [None, None] or e["bounds"]["long"] == r["bounds"]["long"] for e, r in zip(entries, read))
+    monkeypatch.setattr(files, "_filesystem", crash)
+    assert files.file_entries(spark, table.schema, table.partitions, [(e["path"], e["bytes"]) for e in entries]) == read
+
+
+def test_a_hot_partition_value_is_split(spark, engine):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "64k")
+    try:
+        engine.create_from("t", spark.range(200_000).selectExpr("id", "CASE WHEN id % 100 > 0 THEN 'hot' ELSE 'cold' END AS p", "md5(cast(id AS string)) AS h").repartition(16), [X.parse("p")])
+    finally:
+        spark.conf.unset(key)
+    files = engine.catalog.load(("default", "t")).snapshot()["files"]
+    assert sum(f["partition"]["p"] == "hot" for f in files) > 4 and sum(f["partition"]["p"] == "cold" for f in files) <= 2
+    assert engine.table("t").count() == 200_000
+
+
+def test_pins_of_other_processes(spark, engine):
+    engine.create_from("t", spark.range(3))
+    ident, other = ("default", "t"), C.Catalog(spark, engine.catalog.warehouse)
+    old = engine.catalog.load(ident).snapshot()["id"]
+    append(engine.catalog, ident, spark.range(3, 5))
+    with other.pin(ident, old, lease=3):
+        assert engine.catalog.pinned(ident) == {old} and maintain.expire(engine.catalog, ident, max_age=0) == set()
+        import time
+
+        time.sleep(3.5)  # renewed meanwhile
+        assert engine.catalog.pinned(ident) == {old}
+    assert engine.catalog.pinned(ident) == set() and maintain.expire(engine.catalog, ident, max_age=0) == {old}
+    engine.catalog.store.create(engine.catalog.location(ident) + "/pins/dead-0.json", '{"snapshot": 1, "until": 5}')
+    assert engine.catalog.pinned(ident) == set() and not engine.catalog.store.list(engine.catalog.location(ident) + "/pins")
+
+
 def test_not_null(engine):
     engine.sql("CREATE TABLE t (x INT NOT NULL)")
     with pytest.raises(C.InvalidArgument):
@@ -217,6 +285,103 @@ def test_rejected_requests_leave_nothing(engine):
     assert engine.ingest.flush("t") == "flushed" and engine.sql("SELECT id FROM t").count() == 1
 
 
+def crash(*_, **__):
+    raise OSError("the process ended here")
+
+
+def test_a_flush_ends_after_its_commit(engine, monkeypatch):
+    """Clean-up fails, another batch is staged: nothing is committed twice, even when the snapshot has expired."""
+    engine.sql("CREATE TABLE t (x INT)")
+    engine.ingest.json("t", [{"x": 1}, {"x": 2}])
+    with monkeypatch.context() as m:
+        m.setattr(type(engine.catalog.store), "delete", crash)
+        with pytest.raises(OSError):
+            engine.ingest.flush("t")
+    engine.ingest.json("t", {"x": 3})
+    maintain.expire(engine.catalog, ("default", "t"), max_age=0)
+    assert engine.ingest.flush("t") == "flushed" and engine.ingest.flush("t") == "no_pending_data"
+    assert rows(engine.table("t")) == [(1,), (2,), (3,)]
+    engine.ingest.json("t", {"x": 4})
+    engine.ingest.flush("t")
+    assert len(engine.catalog.load(("default", "t")).state["ingested"]) == 1  # names of deleted batches go
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_an_unknown_outcome_is_found_out(engine, monkeypatch, after):
+    """The commit fails before or after it took place: the next flush, or recheck, settles it with the files that were written."""
+    engine.sql("CREATE TABLE t (x INT)")
+    engine.ingest.json("t", {"x": 1})
+    real = C.Catalog.commit_snapshot
+
+    def broken(self, *a, **k):
+        if after:
+            real(self, *a, **k)
+        raise OSError("no answer")
+
+    with monkeypatch.context() as m:
+        m.setattr(C.Catalog, "commit_snapshot", broken)
+        with pytest.raises(I.FlushBlocked):
+            engine.ingest.flush("t")
+    data = lambda: sum(p.endswith(".parquet") for p, *_ in engine.catalog.store.files(engine.catalog.location(("default", "t")) + "/data"))
+    before = data()
+    assert engine.ingest.recheck("t") == 1 and engine.ingest.recheck("t") == 0
+    assert engine.ingest.flush("t") == "no_pending_data" and rows(engine.table("t")) == [(1,)] and data() == before
+
+
+def test_two_flushers(engine, monkeypatch):
+    """One flush comes in while another is between writing and committing: each row is there once."""
+    engine.sql("CREATE TABLE t (x INT)")
+    engine.ingest.json("t", {"x": 1})
+    real, other = I.Ingest._commit, I.Ingest(engine.catalog)
+
+    def late(self, *a):
+        if self is engine.ingest and not late.done:
+            late.done = True
+            engine.ingest.json("t", {"x": 2})
+            assert other.flush("t") == "flushed"
+        return real(self, *a)
+
+    late.done = False
+    monkeypatch.setattr(I.Ingest, "_commit", late)
+    assert engine.ingest.flush("t") in ("flushed", "no_pending_data")
+    assert engine.ingest.flush("t") == "no_pending_data" and rows(engine.table("t")) == [(1,), (2,)]
+    threads = [threading.Thread(target=f) for f in [lambda: engine.ingest.json("t", {"x": 3}), *[lambda: other.flush("t")] * 2, lambda: engine.ingest.flush("t")]]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    other.flush("t")
+    assert rows(engine.table("t")) == [(1,), (2,), (3,)]
+
+
+def test_a_key_counts_when_its_rows_are_there(engine, monkeypatch):
+    """A crash between claim and staging: in progress at first, then the request is taken; a slow first request is a duplicate of the second."""
+    engine.sql("CREATE TABLE t (x INT)")
+    body = {"rows": [{"x": 1}], "idempotency_key": "k"}
+    with monkeypatch.context() as m:
+        m.setattr(I.files, "conform", crash)
+        m.setattr(type(engine.catalog.store), "delete", crash)
+        with pytest.raises(OSError):
+            engine.ingest.json("t", body)
+    with pytest.raises(I.InProgress):
+        engine.ingest.json("t", body)
+    monkeypatch.setattr(I, "CLAIM_SECONDS", 0)
+    real, slow = I.Ingest._enter, []
+
+    def enter(self, *a):
+        if not slow:
+            slow.append(True)
+            assert not engine.ingest.json("t", body).duplicate  # overtakes
+        return real(self, *a)
+
+    monkeypatch.setattr(I.Ingest, "_enter", enter)
+    assert engine.ingest.json("t", body).duplicate and engine.ingest.json("t", body).duplicate
+    assert engine.ingest.flush("t") == "flushed" and rows(engine.table("t")) == [(1,)]
+    assert engine.ingest.json("t", body).duplicate
+    monkeypatch.setattr(I, "KEY_HOURS", 0)
+    assert not engine.ingest.json("t", body).duplicate and engine.ingest.purge_keys("t") == 0  # its batch is staged
+    engine.ingest.flush("t")
+    assert engine.ingest.purge_keys("t") == 1 and engine.table("t").count() == 2
+
+
 def test_only_nulls_have_no_type(engine):
     with pytest.raises(C.InvalidArgument):
         engine.ingest.json("new", [{"a": None, "b": 1}])
@@ -362,5 +527,12 @@ def test_streaming_batches_commit_once(spark, engine, tmp_path):
     spark.createDataFrame([(1,), (2,)], "a int").write.json(f"file://{tmp_path}/in")
     for _ in range(2):
         engine.ingest.stream("t", f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination()
-    append(engine.catalog, ("default", "t"), spark.createDataFrame([(9,)], "a int"), commit_id=f"file://{tmp_path}/cp#0")
     assert rows(engine.table("t")) == [(1,), (2,)]
+    # the batch runs again as if its checkpoint entry had not been written, after its snapshot has gone
+    import shutil
+
+    append(engine.catalog, ("default", "t"), spark.createDataFrame([(9,)], "a int"))
+    maintain.expire(engine.catalog, ("default", "t"), max_age=0)
+    shutil.rmtree(tmp_path / "cp" / "commits")
+    engine.ingest.stream("t", f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination()
+    assert rows(engine.table("t")) == [(1,), (2,), (9,)]

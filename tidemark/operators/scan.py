@@ -25,20 +25,26 @@ def condition(predicates: list[Predicate]) -> Column:
     return reduce(lambda a, b: a & b, [makes[op](F.col(f"`{c}`"), v) for c, op, v in predicates], F.lit(True))
 
 
+def check_deletes(raw: DataFrame) -> None:
+    """Null or empty paths and null or negative positions are errors."""
+    if raw.where("file_path is null or file_path = '' or pos is null or pos < 0").limit(1).count():
+        raise InvalidArgument("a position delete needs a path and a position from 0 on")
+
+
 def read_deletes(catalog: Catalog, deletes: list[dict], data_paths: list[str]) -> DataFrame:
     """(path, pos), each once, of position-delete files; path is a data file's.
 
     A file_path matches a data file exactly, or as the end of its path after a
-    slash.  Null or empty paths and null or negative positions are errors.
+    slash.  Positions are checked here unless that was done when they were added.
     """
-    raw = catalog.spark.read.schema("file_path string, pos long").parquet(*[d["path"] for d in deletes])
-    bad = raw.where("file_path is null or file_path = '' or pos is null or pos < 0").limit(1).count()
-    if bad:
-        raise InvalidArgument("a position delete needs a path and a position from 0 on")
-    names = [r.file_path for r in raw.select("file_path").distinct().collect()]  # at most one a data file and spelling
-    rows = [(n, p) for n in names for p in data_paths if p == n or p.endswith("/" + n)]
-    found = catalog.spark.createDataFrame(rows, "file_path string, path string")
-    return raw.join(found, "file_path").select("path", "pos").distinct()
+    reader = catalog.spark.read.schema("file_path string, pos long")
+    if unchecked := [d["path"] for d in deletes if not d.get("checked")]:
+        check_deletes(reader.parquet(*unchecked))
+    raw = reader.parquet(*[d["path"] for d in deletes])
+    # paths that match have the same last part
+    data = catalog.spark.createDataFrame([(p, p.rsplit("/", 1)[-1]) for p in data_paths], "path string, base string")
+    met = raw.withColumn("base", F.substring_index("file_path", "/", -1)).join(data, "base")
+    return met.where((F.col("path") == F.col("file_path")) | F.col("path").endswith(F.concat(F.lit("/"), "file_path"))).select("path", "pos").distinct()
 
 
 def scan(catalog: Catalog, ident, predicates: list[Predicate] = (), snapshot_id: int | None = None, table: Table | None = None) -> DataFrame:
@@ -85,7 +91,16 @@ def add_deletes(catalog: Catalog, ident, positions: DataFrame, base: int | None
     if not count:
         catalog.store.delete(folder)
         return catalog.load(ident)
+    try:
+        check_deletes(written)
+    except InvalidArgument:
+        catalog.store.delete(folder)
+        raise
     snapshot = catalog.load(ident).snapshot()
-    names = [r.file_path for r in written.select("file_path").distinct().collect()]
-    targets = [f["path"] for f in snapshot["files"] if any(f["path"] == n or (n and f["path"].endswith("/" + n)) for n in names)]
-    return catalog.commit_snapshot(ident, "delete", [], base=base, deletes=[{"path": folder, "rows": count, "content": "position", "targets": targets}])
+    by_name: dict[str, list[str]] = {}
+    for f in snapshot["files"] if snapshot else []:
+        by_name.setdefault(f["path"].rsplit("/", 1)[-1], []).append(f["path"])
+    targets = set()
+    for r in written.select("file_path").distinct().toLocalIterator():  # one a data file and spelling
+        targets.update(p for p in by_name.get(r.file_path.rsplit("/", 1)[-1], ()) if p == r.file_path or p.endswith("/" + r.file_path))
+    return catalog.commit_snapshot(ident, "delete", [], base=base, deletes=[{"path": folder, "rows": count, "content": "position", "targets": sorted(targets), "checked": True}])

@@ -2,9 +2,20 @@
 
 ``ingest`` flattens, conforms and checks rows and writes them to the table's
 staging folder (they survive a restart there); ``flush`` commits everything
-staged as one snapshot, whose id is made of the staged names, so a flush that is
-repeated after a failure commits once.  ``stream`` does the same with a
-Structured Streaming query over a folder of JSON lines.
+staged as one snapshot.  ``stream`` does the same with a Structured Streaming
+query over a folder of JSON lines.
+
+Rows are committed once, whatever fails and whoever flushes:
+
+* a request with an idempotency key counts only once its batch is written; the
+  first batch to be entered for the key is the key's, later ones are duplicates,
+  and while one is being written others are told so (``InProgress``);
+* the commit that makes batches visible enters their names in the table's state,
+  at once and by compare and set, and fails if one of them was committed by
+  another.  A name goes from there only when its staged folder is gone;
+* what a flush has written is noted (``prepared``) before the commit, so after an
+  unknown outcome the next flush finds out, and commits the same files if need be;
+* a stream's last batch stands in the table's state, under its checkpoint.
 """
 
 from __future__ import annotations
@@ -21,10 +32,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import files
-from ..sources.catalog import Catalog, InvalidArgument, NotFound, columns_of, resolve
+from ..sources.catalog import Catalog, Conflict, InvalidArgument, NotFound, columns_of, resolve
 
 KEY_HOURS = 24
 MAX_KEYS = 100_000
+#: A request that has claimed its key counts as under way for so long.
+CLAIM_SECONDS = 300
 
 
 @dataclass(frozen=True)
@@ -77,10 +90,22 @@ def flatten_columns(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[1]
+
+
 class Backpressure(RuntimeError):
     """More is staged than a table may hold; flush first."""
 
 
+class InProgress(RuntimeError):
+    """Another request with this idempotency key is under way."""
+
+
+class FlushBlocked(RuntimeError):
+    """A commit's outcome is unknown; ``recheck`` or the next flush finds out."""
+
+
 class Ingest:
     """soft_bytes of staged data make the next request flush by itself; beyond hard_bytes requests are refused."""
 
@@ -123,15 +148,61 @@ class Ingest:
         """A pyarrow Table, with exactly the table's columns."""
         return self.frame(name, self.spark.createDataFrame(data), key=key)
 
+    # idempotency keys: keys/<digest>/claim-<n> and done-<n>, each created once; n goes up when a key has expired
+
+    def _keys(self, ident) -> str:
+        return f"{self.catalog.location(ident)}/keys"
+
     def purge_keys(self, name: str) -> int:
-        """Forgets idempotency keys older than KEY_HOURS, and the oldest beyond MAX_KEYS."""
+        """Forgets idempotency keys older than KEY_HOURS, and the oldest beyond MAX_KEYS; not those of staged batches."""
         ident = resolve(name)
-        keys = sorted(self.catalog.store.files(f"{self.catalog.location(ident)}/keys"), key=lambda k: -k[2])
-        old = [k for i, k in enumerate(keys) if i >= MAX_KEYS or time.time() - k[2] > KEY_HOURS * 3600]
-        for path, *_ in old:
+        staged = {p.rsplit(".", 2)[1] for p in self._staged(ident) if p.endswith(".k")}
+        newest: dict[str, float] = {}
+        for path, _, modified in self.catalog.store.files(self._keys(ident)):
+            key = path.rsplit("/", 1)[0]
+            newest[key] = max(modified, newest.get(key, 0.0))
+        keys = sorted(newest.items(), key=lambda k: -k[1])
+        old = [k for i, (k, at) in enumerate(keys) if (i >= MAX_KEYS or time.time() - at > KEY_HOURS * 3600) and k.rsplit("/", 1)[1] not in staged]
+        for path in old:
             self.catalog.store.delete(path)
         return len(old)
 
+    def _newest(self, folder: str, kind: str) -> tuple[int, dict] | None:
+        """The highest n of <kind>-<n> in a key's folder, and what it holds."""
+        found = [int(p.rsplit("-", 1)[1].removesuffix(".json")) for p, *_ in self.catalog.store.list(folder) if f"/{kind}-" in p]
+        return (max(found), json.loads(self.catalog.store.read(f"{folder}/{kind}-{max(found)}.json"))) if found else None
+
+    def _claim(self, ident, digest: str) -> tuple[int, str | None]:
+        """(n, the batch that has used the key in the last KEY_HOURS or None after claiming it); InProgress if another claim is young."""
+        folder, now = f"{self._keys(ident)}/{digest}", time.time()
+        done, claim = self._newest(folder, "done"), self._newest(folder, "claim")
+        if done and now - done[1]["at"] < KEY_HOURS * 3600:
+            return done[0], done[1]["batch"]
+        n = done[0] + 1 if done else 0
+        if claim and claim[0] >= n and now - claim[1]["at"] < CLAIM_SECONDS:
+            raise InProgress("a request with this idempotency key is under way")
+        # a claim that ran out is followed by the next number; done-<n> of any of them decides
+        n = max(n, claim[0] + 1 if claim else 0)
+        try:
+            self.catalog.store.create(f"{folder}/claim-{n}.json", json.dumps({"at": now}))
+        except Conflict:
+            raise InProgress("a request with this idempotency key is under way") from None
+        return n, None
+
+    def _enter(self, ident, digest: str, n: int, batch: str) -> str:
+        """The batch that has the key: this one, or one that was entered before."""
+        folder = f"{self._keys(ident)}/{digest}"
+        done = self._newest(folder, "done")
+        if done and time.time() - done[1]["at"] < KEY_HOURS * 3600:
+            return done[1]["batch"]
+        # one name for all claims since the last expiry, so that only one can be entered
+        slot = done[0] + 1 if done else 0
+        try:
+            self.catalog.store.create(f"{folder}/done-{slot}.json", json.dumps({"batch": batch, "at": time.time()}))
+            return batch
+        except Conflict:
+            return json.loads(self.catalog.store.read(f"{folder}/done-{slot}.json"))["batch"]
+
     def _stage(self, ident, df: DataFrame, key: str | None, rows: int | None) -> Receipt:
         table = self.catalog.load(ident)
         batch = uuid.uuid4().hex
@@ -140,75 +211,132 @@ class Ingest:
             raise Backpressure(f"{staged} bytes are staged for {'.'.join(ident)}")
         if staged >= self.soft_bytes:
             self.flush(".".join(ident))
+        digest = n = None
         if key is not None:
-            known = self._claim(ident, key, batch)
+            digest = hashlib.sha256(key.encode()).hexdigest()
+            n, known = self._claim(ident, digest)
             if known:
                 return Receipt(known, rows or 0, True)
+        path = f"{self._staging(ident)}/{int(time.time() * 1e6):020d}-{batch}" + (f".{digest}.k" if digest else "")
         try:
-            out = files.conform(df, table)
-            files.check_rows(out, table)
-            path = f"{self._staging(ident)}/{int(time.time() * 1e6):020d}-{batch}"
-            out.write.parquet(path)
+            files.conform(df, table).write.parquet(path)
+            written = self.spark.read.schema(table.schema).parquet(path)
+            files.check_rows(written, table)
         except Exception as e:
-            if key is not None:
-                self.catalog.store.delete(self._key(ident, key))
+            self.catalog.store.delete(path)
+            if digest:
+                self.catalog.store.delete(f"{self._keys(ident)}/{digest}/claim-{n}.json")
             if "MALFORMED_RECORD_IN_PARSING" in str(e):
                 raise InvalidArgument("a row does not fit the table's columns") from e
             raise
-        return Receipt(batch, rows if rows is not None else self.spark.read.parquet(path).count())
-
-    def _key(self, ident, key: str) -> str:
-        return f"{self.catalog.location(ident)}/keys/{hashlib.sha256(key.encode()).hexdigest()}.json"
-
-    def _claim(self, ident, key: str, batch: str) -> str | None:
-        """The batch that has used the key in the last KEY_HOURS, or None after claiming it."""
-        from ..sources.catalog import Conflict
+        if digest and (first := self._enter(ident, digest, n, batch)) != batch:
+            self.catalog.store.delete(path)
+            return Receipt(first, rows or 0, True)
+        return Receipt(batch, rows if rows is not None else written.count())
 
-        path = self._key(ident, key)
-        for _ in range(2):
-            try:
-                self.catalog.store.create(path, json.dumps({"batch": batch, "at": time.time()}))
-                return None
-            except Conflict:
-                used = json.loads(self.catalog.store.read(path))
-                if time.time() - used["at"] < KEY_HOURS * 3600:
-                    return used["batch"]
-                self.catalog.store.delete(path)
-        return None
+    def _staged(self, ident) -> list[str]:
+        return sorted(p for p, folder, _, _ in self.catalog.store.list(self._staging(ident)) if folder)
 
     def pending(self, name: str) -> list[str]:
-        """Staged batches in their order; only complete ones."""
+        """Staged batches in their order; only complete ones, and of those with a key only the key's own."""
         ident = resolve(name)
-        return sorted(p for p, folder, _, _ in self.catalog.store.list(self._staging(ident)) if folder and self.catalog.store.exists(f"{p}/_SUCCESS"))
+        done: dict[str, set[str]] = {}
+
+        def entered(path: str) -> bool:
+            if not path.endswith(".k"):
+                return True
+            batch, digest = path.rsplit("/", 1)[1].split("-", 1)[1].split(".")[:2]
+            if digest not in done:
+                folder = f"{self._keys(ident)}/{digest}"
+                done[digest] = {json.loads(self.catalog.store.read(p))["batch"] for p, *_ in self.catalog.store.list(folder) if "/done-" in p}
+            return batch in done[digest]
+
+        return [p for p in self._staged(ident) if self.catalog.store.exists(f"{p}/_SUCCESS") and entered(p)]
 
     def flush(self, name: str) -> str:
-        """Commits what is staged; "flushed" or "no_pending_data"."""
-        ident = resolve(name)
-        table = self.catalog.load(ident)
-        batches = self.pending(name)
-        if not batches:
-            return "no_pending_data"
-        commit_id = hashlib.sha256("\n".join(b.rsplit("/", 1)[1] for b in batches).encode()).hexdigest()
-        if not any(s.get("commit_id") == commit_id for s in table.state["snapshots"]):
+        """Commits what is staged; "flushed" or "no_pending_data". FlushBlocked if it isn't known whether it did."""
+        ident, store = resolve(name), self.catalog.store
+        for _ in range(20):
+            self._resolve(ident)
+            table = self.catalog.load(ident)
+            batches = [b for b in self.pending(name) if _name(b) not in table.state.get("ingested", {})]
+            if not batches:
+                return "no_pending_data"
             df = self.spark.read.schema(table.schema).parquet(*batches)
-            self.catalog.commit_snapshot(ident, "append", files.write_files(self.catalog, ident, df, table), commit_id=commit_id)
-        for b in batches:
-            self.catalog.store.delete(b)
-        return "flushed"
+            note = f"{self.catalog.location(ident)}/prepared/{uuid.uuid4().hex}.json"
+            written = files.write_files(self.catalog, ident, df, table)
+            store.create(note, json.dumps({"batches": batches, "files": written}))
+            if self._commit(ident, note, batches, written):
+                return "flushed"
+        raise Conflict(f"{name}: other writers came first 20 times")
+
+    def _commit(self, ident, note: str, batches: list[str], written: list[dict]) -> bool:
+        """Commits written files of staged batches and clears up; False if another flush has committed one of the batches.
+
+        Files that are not committed are left to the sweep.
+        """
+        store, names = self.catalog.store, [_name(b) for b in batches]
+
+        def also(state: dict) -> dict:
+            known = state.get("ingested", {})
+            if set(known) & set(names) or not all(store.exists(f"{b}/_SUCCESS") for b in batches):
+                raise Conflict("committed by another")
+            still = {n: by for n, by in known.items() if store.exists(f"{self._staging(ident)}/{n}")}
+            return state | {"ingested": still | dict.fromkeys(names, _name(note))}
+
+        try:
+            self.catalog.commit_snapshot(ident, "append", written, also=also)
+            done = True
+        except Conflict:
+            known = self.catalog.load(ident).state.get("ingested", {})
+            done = all(known.get(n) == _name(note) for n in names)  # by one who found the note
+        except Exception as e:
+            raise FlushBlocked(f"{'.'.join(ident)}: {e}") from e
+        store.delete(note)
+        for b in batches if done else ():
+            store.delete(b)
+        return done
+
+    def _resolve(self, ident) -> int:
+        """Settles flushes that ended between writing and clearing up; returns how many."""
+        store, settled = self.catalog.store, 0
+        for path, *_ in list(store.files(f"{self.catalog.location(ident)}/prepared")):
+            try:
+                note = json.loads(store.read(path))
+            except Exception:  # noqa: BLE001  its owner was faster
+                continue
+            self._commit(ident, path, note["batches"], note["files"])
+            settled += 1
+        # batches that were committed but not deleted
+        for name in self.catalog.load(ident).state.get("ingested", {}):
+            if store.exists(f"{self._staging(ident)}/{name}"):
+                store.delete(f"{self._staging(ident)}/{name}")
+        return settled
+
+    def recheck(self, name: str) -> int:
+        """Finds out about commits of unknown outcome; returns how many there were."""
+        return self._resolve(resolve(name))
 
     def stream(self, name: str, source: str, checkpoint: str, available_now: bool = True, max_files: int = 100, interval: str = "10 seconds") -> StreamingQuery:
         """A streaming query that appends the JSON lines of a folder; each micro-batch is one commit, made once.
 
-        A batch's id and the query's checkpoint name the commit, so a batch that runs
-        again after a failure is known.  max_files bounds a batch.
+        The last batch's id stands in the table's state under the query's checkpoint,
+        so a batch that runs again after a failure is known, however old its snapshot
+        is.  max_files bounds a batch.
         """
         ident = resolve(name)
         table = self.catalog.load(ident)
 
         def commit(df: DataFrame, batch_id: int) -> None:
+            def also(state: dict) -> dict | None:
+                streams = state.get("streams", {})
+                return state | {"streams": streams | {checkpoint: batch_id}} if streams.get(checkpoint, -1) < batch_id else None
+
+            if also(self.catalog.load(ident).state) is None:
+                return
             rows = parse_lines(df.select(F.col("value").alias("line")), table.schema)
             if rows.limit(1).count():
-                files.append(self.catalog, ident, rows, commit_id=f"{checkpoint}#{batch_id}")
+                files.append(self.catalog, ident, rows, also=also)
 
         lines = self.spark.readStream.option("maxFilesPerTrigger", max_files).text(source)
         writer = lines.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
