@@ -8,10 +8,12 @@ footers, sidebars, forms, scripts, notices, adverts, reader comments).  Lines of
 the second kind go at once.  For the rest the ratio of characters to tags is
 smoothed over neighbouring lines with a Gaussian, and a threshold that clusters
 the ratios into two groups (the best split by variance between them) selects
-content lines, on every page.  A mark is evidence: if a marked element holds a
-selected line, its short lines and headings stay as well, except those in marked
-elements inside of it that hold none (teasers).  A heading directly above selected
-lines stays with them.
+content lines, on every page.  Content regions grow from these: the lines that
+stand in the same section (the innermost div, section, article, main or body) as a
+selected line stay with it if not mostly links, as short paragraphs and headings
+do.  A mark is evidence: if a marked element holds a selected line, all its lines
+stay, except those in marked elements inside of it that hold none (teasers).  A
+heading directly above selected lines stays with them.
 
 Defined cases: a null or empty page, or one without any text, gives the empty
 string; unclosed and stray tags close at the next element that can't stand inside
@@ -22,8 +24,10 @@ very long pages are one string at a time; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold the article's text.
 BOILERPLATE = frozenset("head title nav footer aside form script style noscript template iframe object svg canvas button select option textarea input label menu dialog datalist audio video map".split())
+#: Elements that section a page.
+SECTION = frozenset("article body div main section".split())
 #: Headings.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role values that mark menus, notices, adverts and comments.
@@ -53,26 +59,43 @@ LEAST = 2.0
 APART = 0.7
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    marks: tuple[int, ...]  # the marked elements around it, outermost first
+    heading: bool
+    section: int  # the innermost element of SECTION around it
+    linked: int  # characters within links, before white space is made one
+
+
+class _Open(NamedTuple):
+    tag: str
+    bad: bool
+    good: bool
+    section: int  # the one around it
+
+
 class _Lines(HTMLParser):
-    """Cuts a page into lines of (text, tags, marked elements, heading); boilerplate elements leave none."""
+    """Cuts a page into lines; boilerplate elements leave none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
-        self.bad = self.marks = 0
+        self.open: list[_Open] = []
+        self.count: Counter[str] = Counter()  # open elements by name
+        self.bad = self.marks = self.links = self.linked = self.section = self.sections = 0
         self.good: list[int] = []  # the marked elements that are open, outermost first
         self.text: list[str] = []
         self.tags = 0
         self.heading = False
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[Line] = []
 
     def close_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, tuple(self.good), self.heading))
+                self.lines.append(Line(text, self.tags, tuple(self.good), self.heading, self.section, self.linked))
             self.text.clear()
-        self.tags, self.heading = 0, False
+        self.tags, self.heading, self.linked = 0, False, 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCK:
@@ -98,26 +121,36 @@ class _Lines(HTMLParser):
                     bad = True
                 elif ARTICLE.search(value) or name == "role" and value == "main":
                     good = True
-        self.open.append((tag, bad, good))
+        self.open.append(_Open(tag, bad, good, self.section))
+        self.count[tag] += 1
         self.bad += bad
+        self.links += tag == "a"
+        if tag in SECTION:
+            self.sections += 1
+            self.section = self.sections
         if good:
             self.good.append(self.marks)
             self.marks += 1
 
     def _pop(self) -> None:
-        _, bad, good = self.open.pop()
-        self.bad -= bad
-        if good:
+        last = self.open.pop()
+        self.count[last.tag] -= 1
+        self.bad -= last.bad
+        self.links -= last.tag == "a"
+        self.section = last.section
+        if last.good:
             self.good.pop()
 
     def _shut(self, tag: str, up_to: frozenset[str]) -> None:
         """Ends an open element of this name that isn't outside of one in up_to."""
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+            if self.open[i].tag == tag:
                 while len(self.open) > i:
                     self._pop()
                 return
-            if self.open[i][0] in up_to:
+            if self.open[i].tag in up_to:
                 return
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -129,8 +162,10 @@ class _Lines(HTMLParser):
         if tag in BLOCK:
             self.close_line()
         self.tags += 1
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+            if self.open[i].tag == tag:
                 while len(self.open) > i:
                     self._pop()
                 return
@@ -138,10 +173,12 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.bad:
             self.text.append(data)
+            if self.links:
+                self.linked += len(data)
 
 
-def page_lines(html: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
-    """(text, tags, marked elements around it, heading) of each line with text outside boilerplate."""
+def page_lines(html: str) -> list[Line]:
+    """Each line with text outside boilerplate."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -173,16 +210,18 @@ def main_text(html: str | None) -> str:
     lines = page_lines(html) if html else []
     if not lines:
         return ""
-    ratio = np.array([len(t) / max(1, tags) for t, tags, _, _ in lines], float)
+    ratio = np.array([len(x.text) / max(1, x.tags) for x in lines], float)
     level = np.log1p(smoothed(ratio))
     keep = (level >= threshold(level)) & (ratio >= LEAST)
     if keep.all() or not keep.any() or level[keep].mean() - level[~keep].mean() < APART:
         keep[:] = True  # one cluster: nothing sets some lines apart
-    holds = {m for x, k in zip(lines, keep) if k for m in x[2]}
-    keep |= np.array([bool(x[2]) and x[2][-1] in holds for x in lines])
+    holds = {m for x, k in zip(lines, keep) if k for m in x.marks}
+    regions = {x.section for x, k in zip(lines, keep) if k}
+    keep |= np.array([x.section in regions and 2 * x.linked <= len(x.text) for x in lines])
+    keep |= np.array([bool(x.marks) and x.marks[-1] in holds for x in lines])
     for i in range(len(lines) - 2, -1, -1):
-        keep[i] |= lines[i][3] and keep[i + 1]
-    return "\n".join(x[0] for x, k in zip(lines, keep) if k)
+        keep[i] |= lines[i].heading and keep[i + 1]
+    return "\n".join(x.text for x, k in zip(lines, keep) if k)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
