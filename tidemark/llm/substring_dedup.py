@@ -7,9 +7,10 @@ Windows of 20 words that occur at several places are found in three steps:
 2. in a shard, recurring passages are confirmed: each maximal run of windows that
    start earlier at one place becomes a phrase with that place as its source, and
    all phrases are compiled into one Aho-Corasick automaton;
-3. every segment of the shard streams through the automaton.  A phrase counts only
-   if it is also located, word for word, at its source; each other place it is
-   located at is removed.
+3. every segment of the shard streams through the automaton.  Each place a phrase
+   is located at, other than its source, is removed.  If a phrase isn't located,
+   word for word, at its source, hashes of different windows have met, and the
+   shard is done again with the windows' words in place of their hashes.
 
 Shards are bounded by bytes, there are as many as the repeats need, and a segment
 meets the automaton of its own shard only, so the work grows with the input.
@@ -40,14 +41,24 @@ ANCHOR_WORDS = 5
 DIGEST = "did long, h long, n_words long, n_removed long, kept_sha256 string"
 
 
-def judge(held: list[tuple[int, int, int, bytes]], window: int = WINDOW_WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """Spans (did, h, first word, words) that an automaton of the shard's recurring phrases locates away from their source."""
+def _by_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """A number of each window, equal for equal words only."""
+    known: dict[bytes, int] = {}
+    raw = data.tobytes()
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts[: len(starts) - window + 1].tolist(), ends[window - 1 :].tolist())], np.uint64)
+
+
+def judge(held: list[tuple[int, int, int, bytes]], window: int = WINDOW_WORDS, exact: bool = False) -> Iterator[tuple[int, int, int, int]]:
+    """Spans (did, h, first word, words) that an automaton of the shard's recurring phrases locates away from their source.
+
+    exact: windows are told apart by their words, not by 64-bit hashes.
+    """
     held = sorted(held)
     off = np.cumsum([0, *(len(s[3]) for s in held)])
     data = np.frombuffer(b"".join(s[3] for s in held), np.uint8)
     starts, ends, doc = K.words(data, off, K.NOT_SPACE)
     begins = np.searchsorted(doc, np.arange(len(held) + 1))
-    w = K.window_hashes(K.span_hashes(data, starts, ends), window)
+    w = _by_words(data, starts, ends, window) if exact else K.window_hashes(K.span_hashes(data, starts, ends), window)
     s = np.flatnonzero(doc[: len(w)] == doc[window - 1 : window - 1 + len(w)])
     if not len(s):
         return
@@ -78,9 +89,10 @@ def judge(held: list[tuple[int, int, int, bytes]], window: int = WINDOW_WORDS) -
     for k, text in enumerate(texts):
         for end, p in automaton.iter(text):
             located[p].append((k, text.count(" ", 0, end - phrases[p][0] + 1)))
+    if not exact and any((d, j) not in places for (_, _, d, j), places in zip(phrases, located)):  # not the same words: hashes met
+        yield from judge(held, window, exact=True)
+        return
     for (_, n, d, j), places in zip(phrases, located):
-        if (d, j) not in places:  # not the same words: hashes met
-            continue
         home = (held[d][0], held[d][1], held[d][2] + j)
         for k, i in places:
             spot = (held[k][0], held[k][1], held[k][2] + i)
