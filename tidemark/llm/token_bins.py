@@ -16,19 +16,26 @@ list belong to the data set, so a task that ran twice leaves no second copy in i
 
 Splitting into pieces before the merges is vectorised, and the ids of a piece are
 kept in a hash table, so the tokenizers library encodes each piece once for as
-long as it stays there (``CACHE_PIECES``; then the table starts afresh).  The
+long as it stays there (``CACHE_PIECES``; then the table starts afresh).  What the
+table holds of each piece is compared with the text, character by character; a
+block in which two pieces' hashes met goes through the library.  The
 split follows the byte-level pattern; which characters are letters, digits,
 spaces or others is asked from the library itself.
 
 Defined cases: a null or empty text is the end id alone; rows of one id stand in
 the order of their texts; a null id comes first; an empty table has no files and
 no rows; other columns are not read.
+
+Files go through pyarrow's file systems (file, s3 and s3a, gs, abfs, and hdfs and
+viewfs where libhdfs is installed); a
+checkpoint folder of another scheme needs a ``path`` of one of these.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -234,6 +241,8 @@ class Encoder:
         self.keys, self.slot_piece = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int64)
         self.known, self.start, self.length = 0, np.zeros(self.room + 1, np.int64), np.zeros(self.room + 1, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.text_start, self.text_length = np.zeros(self.room + 1, np.int64), np.zeros(self.room + 1, np.int32)
+        self.text, self.text_used = np.zeros(1 << 16, "<u4"), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Piece number of each hash, -1 where it isn't kept."""
@@ -249,6 +258,14 @@ class Encoder:
         return out
 
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        length = np.array([len(t) for t in texts])
+        some = slice(self.known, self.known + len(texts))
+        self.text_start[some], self.text_length[some] = self.text_used + np.cumsum(length) - length, length
+        while self.text_used + len(points) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.text_used : self.text_used + len(points)] = points
+        self.text_used += len(points)
         for key, e in zip(h.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = e.ids
             slot = (key >> 3) % self.size
@@ -262,12 +279,23 @@ class Encoder:
             self.used += len(ids)
             self.known += 1
 
+    def _plain(self, raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same as block, by the library alone."""
+        ids = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(off[:-1], off[1:])]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    def _same(self, piece: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether the pieces found are, one after the other, the text."""
+        length = self.text_length[piece]
+        if (length != ends - starts).any():
+            return False
+        return bool((self.text[np.arange(len(points)) + np.repeat(self.text_start[piece] - starts, length)] == points).all())
+
     def block(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids in each text)."""
         raw = data.tobytes()
         if any(a.encode() in raw for a in self.added):
-            ids = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(off[:-1], off[1:])]
-            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+            return self._plain(raw, off)
         points = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")
         if len(new := np.unique(points[self.kinds[points] == _UNSEEN])):
             self.kinds[new] = character_kinds(self.tokenizer, new)
@@ -288,6 +316,8 @@ class Encoder:
                 new, where = np.unique(h, return_index=True)
             self._learn(new, [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[where], ends[where])])
             piece = self._find(h)
+        if not self._same(piece, points, starts, ends):
+            return self._plain(raw, off)
         n = self.length[piece].astype(np.int64)
         total = np.cumsum(n)
         at = np.arange(int(total[-1])) + np.repeat(self.start[piece] - (total - n), n)
@@ -306,6 +336,14 @@ def _encoder(shared) -> Encoder:
     return _encoders[0][1]
 
 
+def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system of a path, and the path in it."""
+    try:
+        return pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"token files can't be written to {uri}: give a path of a file system pyarrow knows") from e
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, path: str | None = None) -> list[dict]:
     """Writes the files and returns their list, in order: path, docs, ids, base (ids in the files before)."""
     from tokenizers import Tokenizer
@@ -317,11 +355,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     own = Tokenizer.from_str(text)
     width = width_of(max(own.get_vocab_size(with_added_tokens=True), end_id + 1))
     shared = spark.sparkContext.broadcast(text)
-    pafs_, root = pafs.FileSystem.from_uri(path)
+    pafs_, root = _filesystem(path)
     pafs_.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = pafs.FileSystem.from_uri(path)
+        fs, folder = _filesystem(path)
         encoder, part = _encoder(shared), TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.bin"
         out = None
@@ -362,7 +400,7 @@ def read_token_files(spark: SparkSession, files: list[dict]) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
-                fs, at = pafs.FileSystem.from_uri(name)
+                fs, at = _filesystem(name)
                 with fs.open_input_file(at) as source:
                     reader = BinReader(source)
                     n, a = len(reader.docs), 0
