@@ -16,7 +16,7 @@ is done again with buckets of 8 plain bytes).
 Defined cases: a null or empty text has no bytes; rows with equal id and text are
 one document with equal results, and do not repeat each other; different texts
 with one id are different documents; an empty table gives no rows; other columns
-are not read.
+are not read, and ``without_repeats`` keeps them.
 """
 
 from __future__ import annotations
@@ -120,25 +120,50 @@ def judge(held: list[tuple[int, int, int, bytes]], window: int = WINDOW_BYTES) -
         yield did, h, first + a - int(off[k]), n + window - 1
 
 
+def _shape(window: int) -> A.Shape:
+    return A.Shape(window, min(ANCHOR_BYTES, window), False)
+
+
+def _kept(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bytes, removed bytes, maximal removed runs, what is left) of each row of (text, firsts, ns)."""
+    for x, y, data, off in K.blocks(batch):
+        b = A.symbols(data, off, _shape(window))
+        gone = A.removal_mask(batch, x, y, b)
+        n_removed = np.bincount(b.doc[gone], minlength=y - x)
+        before = np.concatenate([[False], gone[:-1]])
+        before[off[:-1][off[:-1] < len(data)]] = False
+        n_spans = np.bincount(b.doc[gone & ~before], minlength=y - x)
+        raw = data[~gone].tobytes()
+        cuts = np.append(0, np.cumsum(np.diff(off) - n_removed)).tolist()
+        yield from zip(np.diff(off).tolist(), n_removed.tolist(), n_spans.tolist(), (raw[p:q] for p, q in zip(cuts[:-1], cuts[1:])))
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW_BYTES, hot: int = A.HOT) -> DataFrame:
+    """docs, all rows and columns, with the bytes that are left in ``kept``; text stays as it is.
+
+    Bytes, as a span may begin or end within a character.
+    """
+    _, once, unique = A.known_documents(docs)
+    found = A.removed_spans(once, _shape(window), lambda held: judge(held, window), hot)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("h"), pa.array([k[3] for k in _kept(batch, window)], pa.binary())], names=["__did", "__h", "kept"])
+
+    left = found.mapInArrow(run, "__did long, __h long, kept binary")
+    h = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.drop("kept").withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(A.NULL_ID)), "__h": h})
+    return keyed.join(left, ["__did", "__h"]).drop("__did", "__h")
+
+
 def suffix_dedup(docs: DataFrame, window: int = WINDOW_BYTES, hot: int = A.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
-    shape = A.Shape(window, min(ANCHOR_BYTES, window), False)
     rows, once, unique = A.known_documents(docs)
-    found = A.removed_spans(once, shape, lambda held: judge(held, window), hot)
+    found = A.removed_spans(once, _shape(window), lambda held: judge(held, window), hot)
 
     def run(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for x, y, data, off in K.blocks(batch):
-                b = A.symbols(data, off, shape)
-                gone = A.removal_mask(batch, x, y, b)
-                n_removed = np.bincount(b.doc[gone], minlength=y - x)
-                before = np.concatenate([[False], gone[:-1]])
-                before[off[:-1][off[:-1] < len(data)]] = False
-                n_spans = np.bincount(b.doc[gone & ~before], minlength=y - x)
-                raw = data[~gone].tobytes()
-                cuts = np.append(0, np.cumsum(np.diff(off) - n_removed)).tolist()
-                out += zip(np.diff(off).tolist(), n_removed.tolist(), n_spans.tolist(), (hashlib.sha256(raw[p:q]).hexdigest() for p, q in zip(cuts[:-1], cuts[1:])))
+            out = [(n, m, s, hashlib.sha256(kept).hexdigest()) for n, m, s, kept in _kept(batch, window)]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("h"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["did", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
