@@ -11,9 +11,10 @@ message's parent in the same way; deeper ones are linked too, by ``quote_links``
 Quotes and the attribution line before them ("... wrote:") are cut out, and
 messages are put in reply order: by the root of their chain of parents, by how
 often that chain goes over to another conversation (hops), then by turn, so an
-answer stands after what it answers.
+answer stands after what it answers.  ``position`` is how many messages stand
+before, of all conversations; equal messages of one turn share it.
 
-Everything is DataFrame functions.  A line of a hot conversation or a hot line
+Everything but the running count of positions is DataFrame functions.  A line of a hot conversation or a hot line
 meets its quotes in a sorted window, whose memory doesn't grow; only lines that
 are quoted somewhere take part.
 
@@ -26,8 +27,13 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import cut
 
@@ -105,8 +111,36 @@ def _roots(parents: DataFrame) -> DataFrame:
     return p.select("m.conv_id", "m.turn", F.col("r.conv_id").alias("root_conv"), F.col("r.turn").alias("root_turn"), "hops")
 
 
+ORDER = ["root_conv", "root_turn", "hops", "turn", "conv_id"]
+
+
+def _positions(turns: DataFrame) -> DataFrame:
+    """(ORDER, position): how many rows of turns stand before each of their turns.
+
+    Turns are counted, dealt out by ranges of the order and counted on within a
+    range; what stands before a range is added to it.  So no task gets more than a
+    range, however long a conversation is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            yield batch.set_column(batch.schema.get_field_index("n"), "n", pa.array(before + np.cumsum(n) - n)).append_column("last", pa.array(before + np.cumsum(n)))
+            before += int(n.sum())
+
+    turns = turns.groupBy(*ORDER).agg(F.count("*").alias("n"))
+    ranged = turns.repartitionByRange(*[F.col(c).asc_nulls_first() for c in ORDER]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ORDER]).withColumn("part", F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, T.StructField("last", T.LongType())])
+    ranged = cut(ranged.mapInArrow(run, schema), "positions")
+    sizes = sorted(map(tuple, ranged.groupBy("part").agg(F.max("last")).collect()))  # one row a range
+    spark = turns.sparkSession
+    base = spark.createDataFrame([(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)], "part int, base long")
+    return ranged.join(F.broadcast(base), "part").select(*ORDER, (F.col("n") + F.col("base")).alias("position"))
+
+
 def format_chat(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text without quotes, n_quoted and n_linked lines, parent and root, and the formatted turn of each message."""
+    """conv_id, turn, role, text without quotes, n_quoted and n_linked lines, parent, root and position, and the formatted turn of each message."""
     links = cut(quote_links(messages), "quote-links")
     votes = links.where("level = 1 and to_turn is not null").groupBy("conv_id", "turn", "id", "to_conv", "to_turn").agg(F.sum("linked").alias("n"))
     best = votes.groupBy("conv_id", "turn", "id").agg(F.max(F.struct("n", (F.col("to_conv") == F.col("conv_id")).alias("here"), "to_turn", "to_conv")).alias("b"))
@@ -117,13 +151,20 @@ def format_chat(messages: DataFrame) -> DataFrame:
     p = parsed(messages)
     p = p.select("conv_id", "turn", "role", own_text().alias("own"), F.md5(F.coalesce("text", F.lit(""))).alias("id"))
     out = p.join(linked, ["conv_id", "turn", "id"], "left").join(roots, ["conv_id", "turn"], "left")
+    out = out.withColumns({"root_conv": F.coalesce("root_conv", "conv_id"), "root_turn": F.coalesce("root_turn", "turn"), "hops": F.coalesce("hops", F.lit(0)).cast("long")})
+    out = cut(out, "turns")
+    places = _positions(out.select(*ORDER)).select(*[F.col(c).alias(f"at_{c}") for c in ORDER], "position")
+    same = F.lit(True)
+    for c in ORDER:
+        same = same & F.col(c).eqNullSafe(F.col(f"at_{c}"))
+    out = out.join(places, same, "left")
     return out.select(
         "conv_id", "turn", "role", F.col("own").alias("text"), F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_conv", "parent_turn",
-        F.coalesce("root_conv", "conv_id").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("hops", F.lit(0)).cast("long").alias("hops"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("own", F.lit("")), F.lit("<|end|>\n")).alias("formatted"),
+        "root_conv", "root_turn", "hops", "position", F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("own", F.lit("")), F.lit("<|end|>\n")).alias("formatted"),
     )
 
 
 def write_chats(messages: DataFrame, path: str) -> None:
     """The formatted turns as text files, conversation after conversation in reply order; sorted by ranges, so one conversation may fill several files."""
     turns = format_chat(messages)
-    turns.repartitionByRange("root_conv", "root_turn", "hops", "turn").sortWithinPartitions("root_conv", "root_turn", "hops", "turn", "conv_id", "formatted").select(F.expr("substring(formatted, 1, length(formatted) - 1)")).write.text(path)
+    turns.repartitionByRange("position").sortWithinPartitions("position", "formatted").select(F.expr("substring(formatted, 1, length(formatted) - 1)")).write.text(path)

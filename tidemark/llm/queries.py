@@ -115,6 +115,7 @@ chain AS (SELECT conv_id, turn, p, 1 AS d, CAST(p[1] <> conv_id AS BIGINT) AS ho
 root AS (SELECT conv_id, turn, arg_max(p, d) AS r, arg_max(hops, d) AS hops FROM chain GROUP BY ALL)
 SELECT m.conv_id, m.turn, m.role, CASE WHEN plain THEN m.text ELSE t END AS text, CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
        b[4] AS parent_conv, b[3] AS parent_turn, coalesce(r[1], m.conv_id) AS root_conv, coalesce(r[2], m.turn) AS root_turn, coalesce(root.hops, 0) AS hops,
+       rank() OVER (ORDER BY coalesce(r[1], m.conv_id) NULLS FIRST, coalesce(r[2], m.turn) NULLS FIRST, coalesce(root.hops, 0), m.turn NULLS FIRST, m.conv_id NULLS FIRST) - 1 AS position,
        '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || coalesce(CASE WHEN plain THEN m.text ELSE t END, '') || '<|end|>' || chr(10) AS formatted
 FROM m LEFT JOIN own_text USING (conv_id, turn, id) LEFT JOIN counts USING (conv_id, turn, id) LEFT JOIN best USING (conv_id, turn, id) LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn
 """,
