@@ -76,9 +76,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_symbol_runs", "n_upper", "n_marks")
 
 
-def vote(bad: str, good: str) -> Column:
-    """1 good, 0 bad, -1 abstains; a text without words makes no rule vote but for its length."""
-    return F.expr(f"case when n_words = 0 and not (n_words < 50 and '{bad}' = 'n_words < 50') then -1 when {bad} then 0 when {good} then 1 else -1 end")
+#: Rules that vote on texts without words as well.
+ON_EMPTY = frozenset({"length"})
+
+
+def vote(bad: str, good: str, on_empty: bool = False) -> Column:
+    """1 good, 0 bad, -1 abstains, as it does on a text without words unless on_empty."""
+    return F.expr(f"case when n_words = 0 and not {str(on_empty).lower()} then -1 when {bad} then 0 when {good} then 1 else -1 end")
 
 
 Rates = tuple[tuple[float, float], tuple[float, float]]
@@ -126,11 +130,11 @@ def posterior(votes: tuple[int, ...], share: float, rates: list[Rates]) -> float
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def quality_rules(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, keep_from: float = KEEP_FROM) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, keep_from: float = KEEP_FROM, on_empty: frozenset[str] = ON_EMPTY) -> DataFrame:
     """Statistics, the posterior probability of good, base_failed and kept for each row of docs."""
     names = list(rules)
     # the texts are read once: what is counted here serves both the fit and the verdicts
-    stats = cut(statistics(docs).withColumns({f"v_{k}": vote(*rules[k]) for k in names}), "quality-rules")
+    stats = cut(statistics(docs).withColumns({f"v_{k}": vote(*rules[k], k in on_empty) for k in names}), "quality-rules")
     patterns = [(tuple(r[:-1]), r[-1]) for r in stats.groupBy(*[f"v_{k}" for k in names]).count().collect()]  # 3**rules rows at most
     share, rates = fit(patterns)
     z = F.lit(math.log(share / (1 - share)))
