@@ -87,10 +87,40 @@ def test_drop_tables(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    for f in (substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, near_dedup.near_dedup, substring_dedup.without_repeats, near_dedup.one_of_each):
+    for f in (substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, suffix_dedup.without_repeats, near_dedup.near_dedup, substring_dedup.without_repeats, near_dedup.one_of_each):
         assert f(none).count() == 0
 
 
+def test_substring_where_hashes_meet(monkeypatch):
+    """A shard in which different windows have one hash gives the spans it gives without."""
+    texts = [t for _, t in odd_docs() if t and len(brute.SPACED.findall(t)) >= 20]
+    held = [(i, 0, 0, " ".join(brute.SPACED.findall(t)).encode()) for i, t in enumerate(texts)]
+
+    def gone(spans):
+        return {(d, p) for d, _, first, n in spans for p in range(first, first + n)}
+
+    want = gone(substring_dedup.judge(held))
+    real = K.window_hashes
+    monkeypatch.setattr(K, "window_hashes", lambda h, n: real(h, n) % np.uint64(50))
+    assert gone(substring_dedup.judge(held)) == want and len(want) > 100
+
+
+def test_shared_folder_is_asked_for():
+    """Without a shared folder only a local master may use a temporary one."""
+    from types import SimpleNamespace as S
+
+    from tidemark.llm import shared
+
+    def session(master):
+        unset = S(get=lambda *_: None)
+        return S(conf=unset, sparkContext=S(getConf=lambda: unset, master=master, applicationId="test-shared-folder"))
+
+    assert shared.shared_dir(session("local[4]")).startswith("file:///")
+    for master in ("spark://somewhere:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(session(master))
+
+
 def test_without_repeats(docs):
     kept = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
     want = brute.substring(odd_docs())
@@ -101,6 +131,14 @@ def test_without_repeats(docs):
     assert substring_dedup.without_repeats(docs).columns == docs.columns
 
 
+def test_bytes_that_are_left(docs):
+    want = brute.suffix(odd_docs())
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == [*docs.columns, "kept"]
+    rows = out.collect()
+    assert len(rows) == len(want) and all(brute.sha(bytes(r.kept)) == want[r.doc_id][3] for r in rows)
+
+
 def test_substring_oracle(spark):
     assert compare(queries.QUERIES["op2_substring_dedup"](spark, SF), duck(SF), queries.ORACLE_SQL["op2_substring_dedup"]) == 200
 
@@ -190,14 +228,48 @@ def test_copies_too_far_from_each_other(spark):
 
 
 def test_bucket_links_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 6000)
     test_copies_too_far_from_each_other(spark)
 
 
 def test_null_ids_and_repeated_rows(spark):
-    rows = [(None, "a b c d e f"), (None, None), (3, "a b c d e f"), (3, "a b c d e f"), (4, "A, b c d e f!"), (5, ""), (6, "")]
-    got = sorted((tuple(r) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
-    assert got == sorted([(None, None), (None, None), (3, 3), (3, 3), (4, 3), (5, 5), (6, 6)], key=str)
+    """Rows without an id are documents by their text; they don't name a class."""
+    alone = "p q r s t u v"
+    rows = [(None, "a b c d e f"), (None, None), (None, None), (None, alone), (None, alone), (None, "P q r s t u v"), (3, "a b c d e f"), (3, "a b c d e f"), (4, "A, b c d e f!"), (5, ""), (6, ""), ((1 << 62) + 5, "x y z " * 9), (None, "x y z " * 9)]
+    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, id string")
+    got = sorted((tuple(r) for r in near_dedup.near_dedup(df).collect()), key=str)
+    big = (1 << 62) + 5
+    assert got == sorted([(None, 3), *[(None, None)] * 5, (3, 3), (3, 3), (4, 3), (5, 5), (6, 6), (big, big), (None, big)], key=str)
+    left = near_dedup.one_of_each(df)
+    assert left.columns == df.columns
+    stays = sorted(((r.doc_id, (r.text or "").lower()) for r in left.collect()), key=str)
+    assert stays == sorted([(None, ""), (None, ""), (None, alone), (3, "a b c d e f"), (3, "a b c d e f"), (5, ""), (6, ""), (big, "x y z " * 9)], key=str)
+
+
+def test_short_texts_meet(spark):
+    """Texts of 8 to 40 words, each with a copy that is linked at just about 0.8: none is missed."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        n = rng.randint(8, 40)
+        w = [f"{rng.randrange(10**6)}" for _ in range(n)]
+        k = n - 4  # k-mers
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + [f"x{j}" for j in range(k // 4)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {k: v[0] for k, v in found(near_dedup.near_dedup(df), "class_id").items()}
+    assert got == {i: i // 2 * 2 for i in range(1200)}
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from tidemark.llm import shared
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
+    rows = spark.createDataFrame([(i, i % 3 if i % 2 else 0) for i in range(60)] + [(99, 7), (100, None)], "id long, key long")
+    side = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("key is not null and key <> 2")
+    got = sorted(map(tuple, shared.join_spread(rows, side, "key", "least", 62).collect()))
+    assert got == sorted((r.id, r.key, {0: 0, 1: 1, 7: 99}[r.key]) for r in rows.collect() if r.key in (0, 1, 7))
+    test_chain_of_copies(spark)
+    test_copies_too_far_from_each_other(spark)
 
 
 def test_second_text_of_a_copy(spark):

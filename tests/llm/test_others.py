@@ -147,6 +147,54 @@ def test_em():
     assert quality_rules.fit([]) == (quality_rules.START_GOOD, [quality_rules.START_RATES] * len(quality_rules.RULES))
 
 
+def test_posterior_by_row(spark):
+    """The verdict of every document equals that of a plain EM over single documents, from the rules worked out in Python."""
+    from math import exp, log
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(1000 + i, t) for i, t in enumerate(ODD)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+
+    def votes(text):
+        n, chars, symbols, dup, rep, _ = brute.statistics(text)
+        text = text or ""
+        lines = [x for x in text.split("\n") if brute.SPACED.search(x)]
+        runs, upper, marks = len(__import__("re").findall(r"[#*$%&|<>]+", text)), sum("A" <= c <= "Z" for c in text), text.count("!")
+        if n == 0:
+            return (0,) + (-1,) * 8
+        bad = [n < 50, symbols > 0.1 * n, runs > 0.05 * n, rep > 0.3 * n, dup > 0.5 * len(lines), chars < 2 * n or chars > 12 * n, upper > 0.4 * chars, marks > 0.2 * n, False]
+        good = [100 <= n <= 100_000, *[False] * 7, symbols <= 0.01 * n and upper <= 0.1 * chars and marks <= 0.02 * n and rep <= 0.1 * n]
+        return tuple(0 if b else 1 if g else -1 for b, g in zip(bad, good))
+
+    v = {k: votes(t) for k, t in docs}
+    share, rates = 0.85, [[[0.4, 0.02], [0.3, 0.6]] for _ in range(9)]  # rates[rule][vote] = on bad, on good documents
+
+    def quality(x):
+        p_bad, p_good = log(1 - share), log(share)
+        for r, y in zip(rates, x):
+            if y >= 0:
+                p_bad += log(max(r[y][0], 1e-6))
+                p_good += log(max(r[y][1], 1e-6))
+        return 1 / (1 + exp(min(700, p_bad - p_good)))
+
+    for _ in range(quality_rules.ROUNDS):
+        q = {k: quality(x) for k, x in v.items()}
+        good = sum(q.values())
+        new = []
+        for i in range(9):
+            rule = []
+            for y in (0, 1):
+                start = (0.4, 0.02) if y == 0 else (0.3, 0.6)
+                on_bad = (start[0] + sum(1 - q[k] for k, x in v.items() if x[i] == y)) / (len(v) - good + 1)
+                on_good = (start[1] + sum(q[k] for k, x in v.items() if x[i] == y)) / (good + 1)
+                rule.append([max(on_bad, on_good), on_good] if y == 0 else [min(on_bad, on_good), on_good])
+            new.append(rule)
+        share, rates = min(0.999, max(0.001, good / len(v))), new
+    for k, x in v.items():
+        assert abs(got[k].quality - quality(x)) < 1e-6, (k, x)
+        assert got[k].kept == (not got[k].base_failed and quality(x) >= 0.5)
+
+
 def test_rules_run_no_python(spark):
     plan = queries.QUERIES["op10_quality_rules"](spark, SF)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
@@ -231,6 +279,22 @@ def test_encoder(tokenizer):
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_whose_hashes_meet(tokenizer, monkeypatch):
+    """Blocks in which different pieces have one hash are encoded right all the same."""
+    real = K.span_hashes
+    monkeypatch.setattr(K, "span_hashes", lambda data, a, b: real(data, a, b) % np.uint64(5))
+    texts = ["some words and others, and some more", "ab cd ef gh ij", "", "some some"]
+    data, off = K.utf8(pa.array(texts))
+    ids, n = token_bins.Encoder(tokenizer, 100).block(data, off)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_file_systems(tmp_path):
+    assert token_bins._filesystem(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x"
+    with pytest.raises(ValueError, match="viewfs"):
+        token_bins._filesystem("viewfs://a/b")
+
+
 def test_token_files(spark, tokenizer):
     rows = [(7, "b"), (7, "a"), (None, "null id"), (3, None), *[(i + 10, t) for i, t in enumerate(ODD)]]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -308,6 +372,30 @@ def test_ratio_decides_on_marked_pages_too():
     assert html_extract.main_text(f"<body><main>{teaser * 4}{few}{para * 3}{few}<p>End.</p></main></body>").split("\n")[1:-2] == [text] * 3
 
 
+def test_pages_without_marks(spark):
+    """Without the article's mark (renamed, or taken away) the ratio and its regions find the same text; without any names at all they find it, and some notices."""
+    import re
+    from collections import Counter
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [html_extract.main_text(h) for h in pages]
+    assert [html_extract.main_text(re.sub(r"<(/?)article>", r"<\1div>", h)) for h in pages] == want
+    assert [html_extract.main_text(re.sub(r"</?article>", "", h)) for h in pages] == want
+    bare = [re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|main|nav|aside|footer|header|section)\b", r"<\1div", h)) for h in pages]
+    found, hit, due = 0, 0, 0
+    for h, t in zip(bare, want):
+        a, b = Counter(html_extract.main_text(h).split("\n")), Counter(t.split("\n"))
+        found, hit, due = found + a.total(), hit + (a & b).total(), due + b.total()
+    assert hit == due and hit > 0.8 * found
+
+
+def test_long_and_deep_pages():
+    para = "<p>" + "word " * 60 + "</p>"
+    assert html_extract.main_text("<div>" * 50_000 + para + "</span>" * 50_000) == ("word " * 60).strip()
+    assert html_extract.main_text("<b>" * 50_000 + para * 3).count("\n") == 2
+    assert html_extract.main_text("<article>" + para * 20_000 + "</article>").count("\n") == 19_999
+
+
 def test_smoothing_and_threshold():
     r = np.array([0.0, 0, 10, 10, 10, 0, 0])
     s = html_extract.smoothed(r)
@@ -354,6 +442,19 @@ def test_chats(spark, tmp_path):
     assert chat_format.format_chat(m.where("false")).count() == 0
 
 
+def test_chats_in_order(spark):
+    """A long thread, a line that very many quote, a cycle across conversations, and carriage returns: positions follow the replies."""
+    rows = [(1, t, "user", f"line {t}\r\nand more" if not t else f"> line {t - 1}\r\nline {t}") for t in range(300)]
+    rows += [(2, 0, "user", "hot line")] + [(2 + i, 1, "user", f"> hot line\nanswer {i}") for i in range(1, 120)]
+    rows += [(900, 0, "user", "> from b\nfrom a"), (901, 0, "user", "> from a\nfrom b")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r.conv_id, r.turn): r for r in chat_format.format_chat(m).collect()}
+    assert [got[1, t].position for t in range(300)] == list(range(300)) and {got[1, t].root_turn for t in range(300)} == {0}
+    assert got[2, 0].position == 300 and sorted(got[2 + i, 1].position for i in range(1, 120)) == list(range(301, 420))
+    assert all((got[2 + i, 1].root_conv, got[2 + i, 1].hops) == (2, 1) for i in range(1, 120))
+    assert {(got[c, 0].root_conv, got[c, 0].root_turn) for c in (900, 901)} == {(900, 0)} and {got[900, 0].position, got[901, 0].position} == {420, 421}
+
+
 def test_chats_without_quotes(spark):
     got = {(r.conv_id, r.turn): r.text for r in queries.QUERIES["op3_chat_format"](spark, SF).collect()}
     assert got == {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}

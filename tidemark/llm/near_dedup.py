@@ -23,17 +23,19 @@ exact count of common k-mers by an index inside the task, which puts out no more
 than the links that join components.
 
 A link of similarity s meets in a bucket with a chance of about
-1 - (1 - s**TAKEN)**TABLES: 0.999997 at 0.8.
-That holds for long texts.  The minima are drawn without
-replacement, so short texts miss more: of links of 0.8 with m common k-mers of u,
-(1 - C(m, 4) / C(u, 4))**24 never meet: 0.5 % for 4 of 5 (8 and 9 words), 6e-5 for
-8 of 10, 1.2e-5 for 16 of 20.
+1 - (1 - s**TAKEN)**TABLES: 0.999997 at 0.8.  The minima are drawn without
+replacement, so of links with m common k-mers of u, (1 - C(m, TAKEN) / C(u, TAKEN))**TABLES
+never meet, which is more for short texts.  Texts of up to ``SHORT`` k-mers
+therefore take ``TAKEN_SHORT`` minima only: of links of 0.8, 3e-10 are missed for
+4 of 5, 7e-11 for 8 of 10, 5e-6 for 25 of 31, the first to take ``TAKEN``.
 
 Defined cases: texts without words (null, empty) are each a class of their own;
 a text of one to four words is one k-mer; rows with equal text are one class;
 rows of one id are one document, with the class of the smallest class among its
-texts; a null id forms a class of its own, with a null class_id; an empty table
-gives no rows; other columns are not read, and ``one_of_each`` keeps them.
+texts; rows without an id are documents by their text, which link as all others
+do, and their class_id is null if no document of their class has an id (of equal
+ones without an id ``one_of_each`` keeps one row); an empty table gives no rows;
+other columns are not read, and ``one_of_each`` keeps them.
 """
 
 from __future__ import annotations
@@ -49,14 +51,18 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import bounded_batches, cut
+from .shared import bounded_batches, cut, join_spread
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 TABLES = 24
 TAKEN = 4
-#: Texts of a bucket that one task compares with each other.
-BLOCK = 4_000
+#: Texts of up to so many k-mers take fewer minima (those that can be linked with longer ones take both numbers).
+SHORT, TAKEN_SHORT = 30, 2
+#: Bytes of a bucket's texts that one task compares with as many others.
+BLOCK_BYTES = 8 << 20
+#: Rows without an id are known by numbers from here on, made of their text's hash.
+NO_ID = 1 << 62
 
 _RNG = np.random.RandomState(20240229)
 _XOR = _RNG.randint(0, 1 << 62, TABLES).astype(np.uint64)
@@ -97,16 +103,32 @@ def kmers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d, g
 
 
-def sketches(d: np.ndarray, g: np.ndarray, n_texts: int) -> np.ndarray:
-    """Bucket keys of each text, n_texts x TABLES."""
+def sketches(d: np.ndarray, g: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket key), ordered by text: TABLES keys of each text, or twice as many near the bound of the short ones."""
     n = np.bincount(d, minlength=n_texts)
-    keys = np.zeros((n_texts, TABLES), np.int64)
-    texts = np.flatnonzero(n)
-    if not len(texts):
-        return keys
-    want = np.minimum(n, TAKEN)
+    short = (n > 0) & (n <= SHORT)
+    long = n > int(SHORT * SIMILARITY)
+    texts, keys = [], []
+    for some, taken in ((short, TAKEN_SHORT), (long, TAKEN)):
+        at = np.flatnonzero(some)
+        if len(at):
+            own = some[d]
+            texts.append(np.repeat(at, TABLES))
+            keys.append(_keys(np.cumsum(some)[d[own]] - 1, g[own], n[at], taken).reshape(-1))
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    texts, keys = np.concatenate(texts), np.concatenate(keys)
+    order = np.argsort(texts, kind="stable")
+    return texts[order], keys[order]
+
+
+def _keys(d: np.ndarray, g: np.ndarray, n: np.ndarray, taken: int) -> np.ndarray:
+    """Keys of each of len(n) texts, all with k-mers, x TABLES."""
+    texts = np.arange(len(n))
+    keys = np.zeros((len(n), TABLES), np.int64)
+    want = np.minimum(n, taken)
     # nearly always the smallest few lie below this; where not, the text is done without it
-    below = np.full(n_texts, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    below = np.full(len(n), 0xFFFFFFFFFFFFFFFF, np.uint64)
     long = n > 32
     below[long] = (2.0**64 * 20 / n[long]).astype(np.uint64)
     limit = below[d]
@@ -114,17 +136,17 @@ def sketches(d: np.ndarray, g: np.ndarray, n_texts: int) -> np.ndarray:
         for t in range(TABLES):
             v = (g ^ _XOR[t]) * _MUL[t]
             at = np.flatnonzero(v <= limit)
-            few = np.bincount(d[at], minlength=n_texts) < want
+            few = np.bincount(d[at], minlength=len(n)) < want
             if few.any():
                 at = np.flatnonzero((v <= limit) | few[d])
             at = at[np.lexsort((v[at], d[at]))]
             begin = np.searchsorted(d[at], texts)
             rank = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-            taken = np.sort(at[rank < TAKEN])
-            begin = np.searchsorted(d[taken], texts)
-            rank = np.arange(len(taken)) - np.repeat(begin, np.diff(np.append(begin, len(taken))))
-            key = np.add.reduceat(g[taken] * np.array(_ORDER)[rank], begin)
-            keys[texts, t] = K.mix(key + np.uint64(t) * _LABEL).view(np.int64)
+            least = np.sort(at[rank < taken])
+            begin = np.searchsorted(d[least], texts)
+            rank = np.arange(len(least)) - np.repeat(begin, np.diff(np.append(begin, len(least))))
+            key = np.add.reduceat(g[least] * np.array(_ORDER)[rank], begin)
+            keys[:, t] = K.mix(key + np.uint64(t + TABLES * taken) * _LABEL).view(np.int64)
     return keys
 
 
@@ -164,8 +186,8 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for x, y, data, off in K.blocks(batch):
                 d, g = kmers(data, off)
                 n = np.bincount(d, minlength=y - x)
-                keys = sketches(d, g, y - x)
-                lists = pa.ListArray.from_arrays(np.arange(0, (y - x + 1) * TABLES, TABLES, dtype=np.int32), pa.array(keys.reshape(-1)))
+                text, keys = sketches(d, g, y - x)
+                lists = pa.ListArray.from_arrays(np.searchsorted(text, np.arange(y - x + 1)).astype(np.int32), pa.array(keys))
                 out = pa.RecordBatch.from_arrays([batch.column("id").slice(x, y - x), batch.column("same").slice(x, y - x), pa.array(n, pa.int64()), lists], names=["id", "same", "n", "keys"])
                 yield out.filter(pa.array(n > 0))
 
@@ -232,12 +254,12 @@ def bucket_links(ids: np.ndarray, roots: np.ndarray, texts: list[np.ndarray], si
 def _across(rows: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between components that still share a bucket; rows: key, id, root, text.
 
-    A bucket of more than ``BLOCK`` texts is dealt out in blocks, each pair of
-    blocks to a task of its own.
+    A bucket of more than ``BLOCK_BYTES`` is dealt out in blocks, each pair of
+    blocks under a key of its own.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key")
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(blocks, F.lit(1))).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_BYTES).cast("int"), F.lit(1))
+    sized = rows.join(rows.groupBy("key").agg(F.sum(F.octet_length("text")).alias("size")), "key")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
     sized = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     sized = sized.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "root", "text")
 
@@ -272,23 +294,29 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
 
 def _split(rows: DataFrame) -> DataFrame:
     """The rows (key, id, root) of buckets that hold several components."""
-    several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return rows.join(several, "key", "left_semi").select("key", "id", "root")
+    several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y")
+    return join_spread(rows.select("key", "id", "root"), several, "key", "x", rows.count()).drop("x")
+
+
+def _id():
+    """A document's number: its id, or one made of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, class_id) of every document that has a class with another document or text; ids are not null."""
+    """(id, class_id) of every document that has a class with another document or text, by their numbers."""
     bounded_batches(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
+    d = docs.select(_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     sk = cut(_sketched(d.withColumn("same", F.unhex(F.md5("text")))), "sketches")
+    total = sk.count()
     # equal texts are one: the smallest id stands for them
-    head = sk.groupBy("same").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
-    copies = cut(sk.select("id", "same").join(head.where("copies > 1").select("same", "head"), "same").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"), "same").distinct(), "copies")
+    head = sk.groupBy("same").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
+    copies = cut(join_spread(sk.select("id", "same"), head, "same", "head", total).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"), "same").distinct(), "copies")
     # an id's other texts stay
     reps = sk.join(copies.select(F.col("a").alias("id"), "same"), ["id", "same"], "left_anti") if copies.limit(1).count() else sk
     rows = reps.select("id", F.explode("keys").alias("key"))
-    least = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
-    met = cut(rows.join(least, "key").distinct(), "buckets")
+    least = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1")
+    met = cut(join_spread(rows.select("key", "id"), least, "key", "least", TABLES * total).distinct(), "buckets")
     stars = met.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     texts = cut(d.join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     links = cut(_verified(stars, texts, similarity), "links")
@@ -296,26 +324,48 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     label = met.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     label = cut(label, "labels")
     # only buckets that still hold several components go on, with those of their texts that can be linked with another
-    open_ = cut(_split(met.select("key", "id").join(label, "id")), "open-buckets")
+    open_ = cut(_split(cut(met.select("key", "id").join(label, "id"), "labelled")), "open-buckets")
     alone = _own_kmers(texts.join(open_.select("id").distinct(), "id", "left_semi"))
     sides = reps.select("id", "n").join(open_.select("id").distinct(), "id", "left_semi").join(alone, "id", "left")
     # at best with a text of 0.8 times its k-mers
     able = sides.where((F.col("n") - F.coalesce("own", F.lit(0))) >= similarity * F.col("n") - 1e-9).select("id").distinct()
-    open_ = _split(open_.join(able, "id", "left_semi"))
+    open_ = _split(cut(open_.join(able, "id", "left_semi"), "open-buckets"))
     more = cut(_across(open_.join(texts, "id").select("key", "id", "root", "text"), similarity), "links")
     edges = copies.select("a", "b").distinct().union(links).union(more)
     found = components(edges)
     return found.select(F.col("node").alias("id"), F.col("root").alias("class_id"))
 
 
+def _named(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes, each by its smallest document with an id, or of those without one; only needed where there are documents without."""
+    known = docs.select(_id().alias("id"), F.col("doc_id").isNull().alias("none")).distinct()
+    of = classes.join(known, "id").groupBy("class_id").agg(F.min(F.struct("none", "id")).alias("least"))
+    return classes.join(of, "class_id").select("id", F.col("least.id").alias("class_id"), F.col("least.none").alias("none"))
+
+
+def _ids_missing(docs: DataFrame) -> bool:
+    return docs.where("doc_id is null").limit(1).count() > 0
+
+
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id of each row of docs."""
     classes = near_classes(docs, similarity)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return d.join(classes, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    if not _ids_missing(docs):
+        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+        return d.join(classes, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _id().alias("key"))
+    named = _named(docs, cut(classes, "classes")).where("not none")
+    return d.join(named, F.col("key") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the documents whose class has a smaller id; all rows of the ids that stay, with all columns."""
-    gone = near_classes(docs, similarity).where("id <> class_id").select(F.col("id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    classes = near_classes(docs, similarity)
+    if not _ids_missing(docs):
+        gone = classes.where("id <> class_id").select(F.col("id").alias("__gone"))
+        return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = _named(docs, cut(classes, "classes")).where("id <> class_id").select(F.col("id").alias("__id"))
+    left = docs.withColumn("__id", _id()).join(gone, "__id", "left_anti")
+    # texts without words are no copies of each other
+    one = (F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)))
+    return left.where(~one).unionByName(left.where(one).dropDuplicates(["__id"])).select(*docs.columns)
