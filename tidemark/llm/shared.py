@@ -15,6 +15,8 @@ HOT_ROWS = 1_000
 HOT_KEYS = 100_000
 BATCH_ROWS = 2_000
 BATCH_BYTES = 4 << 20
+#: Rows that Parquet's reader decodes at once; its vectors hold all their texts, and grow by doubling.
+READER_ROWS = 256
 
 _own: dict[str, str] = {}
 
@@ -36,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Batches to and from Python hold at most so many rows and bytes from now on, so long texts don't fill an executor."""
+    """Batches of Parquet's reader, and to and from Python, hold at most so many rows and bytes from now on, so long texts don't fill an executor."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
