@@ -46,6 +46,9 @@ WHOLE = {
     "fn_timestamp": ("events", "event_id", "event_id"),
     "fn_number_theory": ("orders", "o_orderkey", "o_orderkey"),
     "arithmetic": ("orders", "o_orderkey", "o_orderkey"),
+    "fn_math_more": ("events", "event_id", "event_id"),
+    "fn_to_char": ("events", "event_id", "event_id"),
+    "unnest_array": ("embeddings", "vec_id", "vec_id"),
     "join_full": ("customer", "c_custkey", "l"),
     "join_natural": ("lineitem", "l_orderkey", "l_orderkey"),
     "join_anti_theta": ("lineitem", "l_orderkey", "l_orderkey"),

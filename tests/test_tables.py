@@ -513,6 +513,100 @@ def test_joins_of_tables_with_aliases(engine):
     assert rows(engine.sql("SELECT x.v FROM `s`.`a` x")) == [("x",), ("y",)]
 
 
+def test_names_are_bound_where_they_stand(spark, engine):
+    """Literals, columns, common table expressions, comments, other alphabets; no view is left behind."""
+    engine.sql("CREATE TABLE events (id INT, events STRING, kind STRING)")
+    engine.sql("CREATE TABLE n.other (id INT)")
+    engine.sql("INSERT INTO events VALUES (1, 'from events', 'a'), (2, 'x', 'b')")
+    engine.sql("INSERT INTO n.other VALUES (2)")
+    before = {t.name for t in spark.catalog.listTables()}
+    assert rows(engine.sql("SELECT 'all from events, n.other' AS s")) == [("all from events, n.other",)]
+    assert rows(engine.sql("SELECT events.events, '😀é from events' FROM events WHERE events = 'from events'")) == [("from events", "😀é from events")]
+    assert rows(engine.sql("WITH events AS (SELECT 7 AS id) SELECT id FROM events")) == [(7,)]
+    assert rows(engine.sql("WITH events AS (SELECT id + 10 AS id FROM events) SELECT events.id FROM events")) == [(11,), (12,)]
+    assert rows(engine.sql("WITH a AS (SELECT id FROM events), other AS (SELECT id FROM n.other) SELECT a.id FROM a, other WHERE a.id = other.id")) == [(2,)]
+    assert rows(engine.sql("SELECT e.id FROM events e WHERE EXISTS (SELECT 1 FROM n.other WHERE other.id = e.id) /* from nowhere */")) == [(2,)]
+    assert rows(engine.sql("SELECT (SELECT max(id) FROM n.other) + events.id FROM events, LATERAL (SELECT 1) l")) == [(3,), (4,)]
+    assert rows(engine.sql("SELECT events.id FROM events TABLESAMPLE (100 PERCENT)")) == [(1,), (2,)]
+    assert rows(engine.sql("TABLE n.other")) == [(2,)] and rows(engine.sql("FROM n.other SELECT other.id")) == [(2,)]
+    assert rows(engine.sql("SELECT a.id, b.id FROM events a JOIN events b ON a.id < b.id")) == [(1, 2)]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_sql_prunes_files(spark, engine):
+    """A query reads only files its filters leave, by partition value and by statistics, and gives the same rows."""
+    engine.sql("CREATE TABLE events (id BIGINT, kind STRING, day DATE, ts TIMESTAMP, d DECIMAL(9, 2)) PARTITION BY (kind)")
+    for i, k in enumerate("abc"):
+        engine.sql(f"INSERT INTO events SELECT id, '{k}', date_add(DATE '2024-01-01', {i}), timestamp_seconds({i} * 3600 + id), id * 9.5 FROM range({i * 100}, {i * 100 + 50})")
+
+    def files(sql, **args):
+        return len(engine.sql(sql, args=args or None).inputFiles())
+
+    assert files("SELECT * FROM events") == 3
+    for where, n in {
+        "kind = 'a'": 1, "kind IN ('a', 'c')": 2, "kind > 'a' AND id < 120": 1, "day = DATE '2024-01-02'": 1, "ts >= TIMESTAMP '1970-01-01 01:00:00'": 2, "d > 1000.5": 2, "d > 99.99 AND d < 500": 1,
+        "kind LIKE 'c%'": 1, "kind = 'a' OR (kind = 'b' AND id > 500)": 1, "(kind = 'a' OR id > 220) AND (kind = 'c' OR id < 3)": 2, "kind = 'a' OR length(kind) = 2": 3, "id IS NULL": 0, "upper(kind) = 'A'": 3, "id + 1 = 5": 3, "kind <> 'a'": 2,
+    }.items():
+        df = engine.sql(f"SELECT id FROM events e WHERE {where}")
+        assert len(df.inputFiles()) <= n, where
+        assert rows(df) == rows(spark.createDataFrame(engine.table("events").collect(), engine.table("events").schema).where(where).select("id")), where
+    assert files("SELECT * FROM events WHERE kind = :k", k="b") == 1
+    assert files("SELECT count(*) FROM events WHERE id = 3 UNION ALL SELECT count(*) FROM events WHERE id = 210") == 2
+    assert rows(engine.sql("SELECT count(*) FROM events WHERE id = 3 UNION ALL SELECT count(*) FROM events")) == [(1,), (150,)]
+    assert files("SELECT * FROM (SELECT * FROM events LIMIT 3) WHERE kind = 'a'") == 3
+    assert rows(engine.sql("WITH e AS (SELECT * FROM events) SELECT a.id FROM e a JOIN e b ON a.id = b.id - 100 WHERE a.kind = 'a' AND b.kind = 'b' AND a.id < 2")) == [(0,), (1,)]
+    h = engine.prepare("SELECT id FROM events WHERE id = :x")
+    assert len(engine.execute(h, {"x": 110}).inputFiles()) == 1 and rows(engine.execute(h, {"x": 110})) == [(110,)]
+
+
+def test_planning_is_tried_again(engine, monkeypatch):
+    from tidemark.plans import binding
+
+    engine.sql("CREATE TABLE t (x INT)")
+    real, tries = binding.plan, []
+
+    def flaky(*a):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("busy")
+        return real(*a)
+
+    monkeypatch.setattr(binding, "plan", flaky)
+    assert engine.sql("SELECT x FROM t").count() == 0 and len(tries) == 3
+    monkeypatch.setattr(binding, "plan", crash)
+    with pytest.raises(OSError):
+        engine.sql("SELECT x FROM t")
+
+
+def test_arrow_results(engine):
+    engine.sql("CREATE TABLE t (x INT, y STRING, ts TIMESTAMP)")
+    assert engine.arrow("SELECT * FROM t").read_all().num_rows == 0
+    engine.sql("INSERT INTO t VALUES (1, NULL, TIMESTAMP '2024-01-01 00:00:00'), (2, 'b', NULL), (3, 'c', NULL)")
+    out = engine.arrow("SELECT * FROM t ORDER BY x", limit=2).read_all()
+    assert out.column_names == ["x", "y", "ts"] and out.column("x").to_pylist() == [1, 2] and out.column("y").to_pylist() == [None, "b"]
+    assert engine.arrow("SELECT y FROM t WHERE x > :n", args={"n": 2}).read_all().column("y").to_pylist() == ["c"]
+    with pytest.raises(Exception, match="(?i)divi"):
+        engine.arrow("SELECT 1 / (x - x) FROM t").read_all()
+    assert sorted(engine.status().values()) == ["completed"] * 3 + ["failed"] and engine.metrics()["query_rows"] == 3
+    assert engine.health() == {"live": True, "ready": True}
+
+
+def test_maintenance_loop(spark, engine):
+    engine.create_from("t", spark.range(3).coalesce(1))
+    for i in range(3):
+        append(engine.catalog, ("default", "t"), spark.range(i, i + 1))
+    stop = engine.maintain_every(["t", "none"], 0.2, max_age=0, keep_last=1, min_age=0)
+    import time
+
+    for _ in range(100):
+        time.sleep(0.2)
+        state = engine.catalog.load(("default", "t"))
+        if len(state.snapshot()["files"]) == 1 and len(state.state["snapshots"]) == 1:
+            break
+    errors = stop()
+    assert len(engine.catalog.load(("default", "t")).snapshot()["files"]) == 1 and engine.table("t").count() == 6 and errors and all(e.startswith("none") for e in errors)
+
+
 def test_dotted_columns(engine):
     engine.ingest.json("e", [{"customer": {"id": 1, "tier": "gold"}, "amount": 2.5}, {"customer": {"id": 2}, "amount": 1}])
     engine.ingest.flush("e")

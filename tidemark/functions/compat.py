@@ -29,6 +29,17 @@ def lcm(a: Column, b: Column) -> Column:
     return F.when(g == 0, F.lit(0).cast("long")).otherwise((F.abs(a.cast("long")) / g).cast("long") * F.abs(b.cast("long")))
 
 
+#: Names of digests and their bits, as sha2 takes them.
+_SHA2 = {"sha224": 224, "sha256": 256, "sha384": 384, "sha512": 512}
+
+
+def digest(x: Column, algorithm: str) -> Column:
+    """The bytes of a digest: md5, sha224, sha256, sha384 or sha512."""
+    if algorithm not in ("md5", *_SHA2):
+        raise ValueError(f"unknown digest {algorithm!r}")
+    return F.unhex(F.md5(x) if algorithm == "md5" else F.sha2(x, _SHA2[algorithm]))
+
+
 def round_toward_zero(x: Column, digits: int = 0) -> Column:
     """x without its decimals beyond ``digits``."""
     scale = F.lit(10.0**digits)

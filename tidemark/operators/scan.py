@@ -47,11 +47,18 @@ def read_deletes(catalog: Catalog, deletes: list[dict], data_paths: list[str]) -
     return met.where((F.col("path") == F.col("file_path")) | F.col("path").endswith(F.concat(F.lit("/"), "file_path"))).select("path", "pos").distinct()
 
 
-def scan(catalog: Catalog, ident, predicates: list[Predicate] = (), snapshot_id: int | None = None, table: Table | None = None) -> DataFrame:
-    """The rows of a snapshot (the current one if not named) that pass the predicates."""
+def scan(catalog: Catalog, ident, predicates: list[Predicate] = (), snapshot_id: int | None = None, table: Table | None = None, any_of: list[list[Predicate]] | None = None) -> DataFrame:
+    """The rows of a snapshot (the current one if not named) that pass the predicates.
+
+    any_of leaves out files none of whose rows meets one of these conjunctions,
+    without filtering rows.
+    """
     table = table or catalog.load(ident)
     snapshot = table.snapshot(snapshot_id)
     files = prune(snapshot["files"], table.partitions, list(predicates)) if snapshot else []
+    if any_of is not None:
+        kept = {f["path"] for p in any_of for f in prune(files, table.partitions, p)}
+        files = [f for f in files if f["path"] in kept]
     if any(d.get("content") == "equality" for d in (snapshot or {"deletes": []})["deletes"]):
         raise NotImplementedError("equality deletes are not supported")
     if not files:

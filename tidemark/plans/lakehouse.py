@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,10 +21,12 @@ _homes: dict[str, str] = {}
 
 
 def warehouse(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share, or a temporary one where that is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors share, or (unset, on a local master) a temporary one."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         app = spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _homes:
             _homes[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         shared = _homes[app]
@@ -165,11 +168,53 @@ def stream_ingest_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("SELECT event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(12, 2))) AS DOUBLE) AS total FROM s.events GROUP BY event_type")
 
 
+def sql_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over a partitioned table; fails if the filter doesn't keep files from being read."""
+    e = _orders(spark, sf_dir, [Transform("identity", "o_orderstatus")], [("o_orderkey", False)])
+    df = e.sql("SELECT o_orderkey, o_custkey, o_totalprice FROM shop.orders o WHERE o.o_orderstatus = 'F' AND o_totalprice > 400000")
+    if len(df.inputFiles()) >= len(e.table("shop.orders").inputFiles()):
+        raise RuntimeError("no file was pruned")
+    return df
+
+
+def sql_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of tables in literals, columns and common table expressions."""
+    e = _orders(spark, sf_dir)
+    e.create_from("shop.nation", _read(spark, sf_dir, "nation").withColumnRenamed("n_name", "orders"))
+    return e.sql("WITH nation AS (SELECT n_nationkey AS k, nation.orders FROM shop.nation) SELECT k, orders, 'from shop.orders' AS s, (SELECT COUNT(*) FROM shop.orders WHERE o_custkey = k) AS n FROM nation")
+
+
+def flush_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flush that ends after its commit, before it has cleared up; then more rows and another flush."""
+    e = _engine(spark)
+    e.sql("CREATE TABLE m.t (id BIGINT NOT NULL)")
+    ids = [r.n_nationkey for r in _read(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    e.ingest.json("m.t", [{"id": i} for i in ids])
+    real = e.catalog.store.delete
+
+    def ended(path: str) -> None:
+        raise OSError("the process ends here")
+
+    e.catalog.store.delete = ended
+    try:
+        e.ingest.flush("m.t")
+    except OSError:
+        pass
+    finally:
+        e.catalog.store.delete = real
+    e.ingest.json("m.t", [{"id": i + 100} for i in ids])
+    e.ingest.flush("m.t")
+    return e.sql("SELECT id FROM m.t")
+
+
 LAKEHOUSE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "snapshot_append_scan": (snapshot_append_scan, "SELECT o_orderkey, CAST(CASE WHEN o_orderkey < 100 THEN 2 ELSE 1 END AS BIGINT) AS n FROM orders"),
     "partition_pruned_scan": (partition_pruned_scan, f"{_ORDERS} WHERE o_orderstatus = 'F' AND o_totalprice > 400000"),
     "stats_pruned_scan": (stats_pruned_scan, f"{_ORDERS} WHERE o_orderkey >= 900 AND o_orderkey < 1100"),
     "position_delete_scan": (position_delete_scan, f"{_ORDERS} WHERE o_orderstatus <> 'P' AND o_orderkey >= 50"),
+    "sql_pruned_scan": (sql_pruned_scan, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000"),
+    "sql_binding": (sql_binding, "SELECT n_nationkey AS k, n_name AS orders, 'from shop.orders' AS s, (SELECT COUNT(*) FROM orders WHERE o_custkey = n_nationkey) AS n FROM nation"),
+    "flush_after_failure": (flush_after_failure, "SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation UNION ALL SELECT CAST(n_nationkey + 100 AS BIGINT) FROM nation"),
     "empty_table_scan": (empty_table_scan, "SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS INT) AS m"),
     "time_travel_scan": (time_travel_scan, _ORDERS),
     "compaction_preserves_rows": (compaction_preserves_rows, f"{_ORDERS} WHERE o_orderpriority <> '5-LOW'"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import date_bin, gcd, lcm, register, round_toward_zero, url_path_hash
+from ..functions import date_bin, digest, gcd, lcm, register, round_toward_zero, url_path_hash
 
 SCALAR: dict[str, tuple[str, str | None]] = {
     "fn_string": (
@@ -47,9 +47,23 @@ SCALAR: dict[str, tuple[str, str | None]] = {
         "SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS a, CAST(timestamp_seconds(event_id * 60) AS TIMESTAMP_NTZ) AS b, to_timestamp_ntz('2024-05-06 07:08:09') AS c, date_format(ts, 'yyyy-MM-dd HH:mm') AS d, CAST(hour(ts) AS BIGINT) AS e, CAST(weekday(ts) + 1 AS BIGINT) AS f, make_timestamp_ntz(2024, 2, 29, 1, 2, 3) AS g, CAST(unix_seconds(CAST(ts AS TIMESTAMP)) AS BIGINT) AS h FROM events",
         "SELECT event_id, date_trunc('hour', ts) AS a, TIMESTAMP '1970-01-01' + to_seconds(event_id * 60) AS b, TIMESTAMP '2024-05-06 07:08:09' AS c, strftime(ts, '%Y-%m-%d %H:%M') AS d, CAST(hour(ts) AS BIGINT) AS e, CAST(isodow(ts) AS BIGINT) AS f, make_timestamp(2024, 2, 29, 1, 2, 3) AS g, CAST(floor(epoch(ts)) AS BIGINT) AS h FROM events",
     ),
+    # digests DuckDB lacks are compared with the published ones of 'abc'
     "fn_encode": (
-        "SELECT p_partkey, decode(unhex(hex(encode(p_name, 'UTF-8'))), 'UTF-8') AS a, decode(unbase64(base64(encode(p_brand, 'UTF-8'))), 'UTF-8') AS b, length(sha2(p_name, 224)) AS c, sha2(p_name, 384) IS NOT NULL AS d, typeof(p_partkey) AS e FROM part",
-        "SELECT p_partkey, decode(unhex(hex(p_name))) AS a, decode(from_base64(to_base64(encode(p_brand)))) AS b, CAST(56 AS INT) AS c, true AS d, lower(typeof(p_partkey)) AS e FROM part",
+        "SELECT p_partkey, decode(unhex(hex(encode(p_name, 'UTF-8'))), 'UTF-8') AS a, decode(unbase64(base64(encode(p_brand, 'UTF-8'))), 'UTF-8') AS b, sha2(concat('a', substring('xbc', 2)), 224) AS c, sha2('abc', 384) AS d, sha2('abc', 512) AS e, length(sha2(p_name, 512)) AS f, sha2(p_name, 0) AS g, sha1(p_name) AS h, typeof(p_partkey) AS i FROM part",
+        "SELECT p_partkey, decode(unhex(hex(p_name))) AS a, decode(from_base64(to_base64(encode(p_brand)))) AS b, '23097d223405d8228642a477bda255b32aadbce4bda0b3f7e36c9da7' AS c, 'cb00753f45a35e8bb5a03d699ac65007272c32ab0eded1631a8b605a43ff5bed8086072ba1e7cc2358baeca134c825a7' AS d, 'ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f' AS e, CAST(128 AS INT) AS f, sha256(p_name) AS g, sha1(p_name) AS h, lower(typeof(p_partkey)) AS i FROM part",
+    ),
+    "fn_clock": ("SELECT event_id, now() >= ts AND now() = current_timestamp() AS a, current_date() = CAST(now() AS DATE) AS b, current_date() > CAST(ts AS DATE) AS c FROM events", "SELECT event_id, now() >= ts AND now() = get_current_timestamp() AS a, current_date = CAST(now() AS DATE) AS b, current_date > CAST(ts AS DATE) AS c FROM events"),
+    "fn_to_char": (
+        "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS a, from_unixtime(event_id * 86400, 'yyyy-MM-dd') AS b, trim(to_char(CAST(user_id AS DECIMAL(6, 0)), '999990')) AS c, date_format(ts, 'EEEE') AS d, CAST(timestamp_micros(event_id * 1000001) AS TIMESTAMP_NTZ) AS e FROM events",
+        "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(make_timestamp(event_id * 86400000000), '%Y-%m-%d') AS b, CAST(user_id AS VARCHAR) AS c, strftime(ts, '%A') AS d, make_timestamp(event_id * 1000001) AS e FROM events",
+    ),
+    "fn_math_more": (
+        "SELECT event_id, nanvl(CASE WHEN event_id % 2 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END, -1e0) AS a, round(cot(value + 1), 6) AS b, round(sinh(value / 500), 6) AS c, round(cosh(value / 500), 6) AS d, round(tanh(value / 500), 6) AS e, round(asinh(value), 6) AS f, round(acosh(value + 1), 6) AS g, round(atanh(value / 1000), 6) AS h, round(asin(value / 1000), 6) AS i, round(acos(value / 1000), 6) AS j, round(atan(value), 6) AS k, round(tan(value), 4) AS l, round(log(3, value + 1), 6) AS m, rand() >= 0 AND rand() < 1 AS n, negative(user_id) AS o FROM events",
+        "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN -1 ELSE value END AS a, round(cot(value + 1), 6) AS b, round(sinh(value / 500), 6) AS c, round(cosh(value / 500), 6) AS d, round(tanh(value / 500), 6) AS e, round(asinh(value), 6) AS f, round(acosh(value + 1), 6) AS g, round(atanh(value / 1000), 6) AS h, round(asin(value / 1000), 6) AS i, round(acos(value / 1000), 6) AS j, round(atan(value), 6) AS k, round(tan(value), 4) AS l, round(ln(value + 1) / ln(3), 6) AS m, true AS n, -user_id AS o FROM events",
+    ),
+    "fn_array_rows": (
+        "SELECT vec_id, array_distinct(a) AS b, array_contains(a, 2) AS c, CAST(array_position(a, 2) AS BIGINT) AS d, slice(a, 2, 2) AS e, sort_array(a) AS f, array_remove(a, 1) AS g, array_max(a) AS h, element_at(a, -1) AS i, array_join(transform(a, x -> CAST(x AS STRING)), '-') AS j, array_append(a, vec_id) AS k, CAST(size(filter(embedding, x -> x > 0)) AS BIGINT) AS l FROM (SELECT vec_id, embedding, array(vec_id % 3, vec_id % 2, vec_id % 4, vec_id % 3) AS a FROM embeddings)",
+        "SELECT vec_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS b, list_contains(a, 2) AS c, CAST(coalesce(list_position(a, 2), 0) AS BIGINT) AS d, list_slice(a, 2, 3) AS e, list_sort(a) AS f, list_filter(a, lambda x: x <> 1) AS g, list_max(a) AS h, a[-1] AS i, array_to_string(a, '-') AS j, list_append(a, vec_id) AS k, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS l FROM (SELECT vec_id, embedding, [vec_id % 3, vec_id % 2, vec_id % 4, vec_id % 3] AS a FROM embeddings)",
     ),
     "fn_null_logic": ("SELECT n_nationkey, NULLIF(n_regionkey, 1) IS NULL AS a, NULLIF(n_regionkey, 1) = 1 AS b, (NULLIF(n_regionkey, 1) = 2) IS NOT TRUE AS c, NULLIF(n_regionkey, 1) IS DISTINCT FROM 2 AS d, coalesce(NULL, NULLIF(n_regionkey, 1), -1) AS e, CASE WHEN CAST(NULL AS BOOLEAN) THEN 1 ELSE 0 END AS f FROM nation", None),
     "fn_width_bucket": ("SELECT CAST(width_bucket(o_totalprice, 0, 500000, 10) AS BIGINT) AS b, COUNT(*) AS n FROM orders GROUP BY 1", "SELECT CAST(least(floor(o_totalprice / 50000) + 1, 11) AS BIGINT) AS b, COUNT(*) AS n FROM orders GROUP BY 1"),
@@ -84,9 +98,25 @@ def _number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("o_orderkey", gcd(a, b).alias("g"), lcm(a, b).alias("l"), round_toward_zero(F.col("o_totalprice") / -3, 1).alias("t"))
 
 
+def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", *[F.lower(F.hex(digest(F.col("p_name"), a))).alias(a) for a in ("md5", "sha256")], F.length(digest(F.col("p_name"), "sha512")).alias("n"))
+
+
+def _plan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXPLAIN of a filtered aggregate, and what its plan shows."""
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    query = "SELECT o_custkey, SUM(o_totalprice) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"
+    plans = [spark.sql(f"EXPLAIN {kind} {query}").select(F.lit(kind).alias("kind"), "plan") for kind in ("FORMATTED", "EXTENDED", "COST")]
+    found = plans[0].union(plans[1]).union(plans[2])
+    return found.select("kind", F.col("plan").contains("HashAggregate").alias("aggregate"), F.col("plan").rlike(r"PushedFilters.*EqualTo\(o_orderstatus").alias("pushed"), F.col("plan").contains("o_comment").alias("unread"))
+
+
 FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "url_path_hash": (_url, _FNV),
     "url_path_hash_sql": (_url_sql, _FNV),
     "fn_date_bin": (_date_bin, "SELECT time_bucket(INTERVAL '15' MINUTE, ts, TIMESTAMP '1970-01-01') AS bin, COUNT(*) AS n FROM events GROUP BY 1"),
+    "fn_digest": (_digest, "SELECT p_partkey, md5(p_name) AS md5, sha256(p_name) AS sha256, CAST(64 AS INT) AS n FROM part"),
+    "explain_plan": (_plan_text, "SELECT * FROM (VALUES ('FORMATTED', true, true, false), ('EXTENDED', true, true, false), ('COST', true, true, false)) t(kind, aggregate, pushed, unread)"),
     "fn_number_theory": (_number, "SELECT o_orderkey, CAST(gcd(o_orderkey, o_custkey) AS BIGINT) AS g, CAST(lcm(o_orderkey, o_custkey) AS BIGINT) AS l, trunc(o_totalprice / -3 * 10) / 10 AS t FROM orders"),
 }

@@ -24,6 +24,7 @@ import hashlib
 import json
 import time
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -111,6 +112,7 @@ class Ingest:
 
     def __init__(self, catalog: Catalog, soft_bytes: int = 384 << 20, hard_bytes: int = 512 << 20):
         self.catalog, self.spark, self.soft_bytes, self.hard_bytes = catalog, catalog.spark, soft_bytes, hard_bytes
+        self.counts: Counter[str] = Counter()
 
     def _staging(self, ident) -> str:
         return f"{self.catalog.location(ident)}/staging"
@@ -216,6 +218,7 @@ class Ingest:
             digest = hashlib.sha256(key.encode()).hexdigest()
             n, known = self._claim(ident, digest)
             if known:
+                self.counts["duplicates"] += 1
                 return Receipt(known, rows or 0, True)
         path = f"{self._staging(ident)}/{int(time.time() * 1e6):020d}-{batch}" + (f".{digest}.k" if digest else "")
         try:
@@ -232,7 +235,10 @@ class Ingest:
         if digest and (first := self._enter(ident, digest, n, batch)) != batch:
             self.catalog.store.delete(path)
             return Receipt(first, rows or 0, True)
-        return Receipt(batch, rows if rows is not None else written.count())
+        rows = rows if rows is not None else written.count()
+        self.counts["requests"] += 1
+        self.counts["rows"] += rows
+        return Receipt(batch, rows)
 
     def _staged(self, ident) -> list[str]:
         return sorted(p for p, folder, _, _ in self.catalog.store.list(self._staging(ident)) if folder)
@@ -267,6 +273,7 @@ class Ingest:
             written = files.write_files(self.catalog, ident, df, table)
             store.create(note, json.dumps({"batches": batches, "files": written}))
             if self._commit(ident, note, batches, written):
+                self.counts["flushes"] += 1
                 return "flushed"
         raise Conflict(f"{name}: other writers came first 20 times")
 
