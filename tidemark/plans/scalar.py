@@ -54,8 +54,8 @@ SCALAR: dict[str, tuple[str, str | None]] = {
     ),
     "fn_clock": ("SELECT event_id, now() >= ts AND now() = current_timestamp() AS a, current_date() = CAST(now() AS DATE) AS b, current_date() > CAST(ts AS DATE) AS c FROM events", "SELECT event_id, now() >= ts AND now() = get_current_timestamp() AS a, current_date = CAST(now() AS DATE) AS b, current_date > CAST(ts AS DATE) AS c FROM events"),
     "fn_to_char": (
-        "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS a, from_unixtime(event_id * 86400, 'yyyy-MM-dd') AS b, trim(to_char(CAST(user_id AS DECIMAL(6, 0)), '999990')) AS c, date_format(ts, 'EEEE') AS d, CAST(timestamp_micros(event_id * 1000001) AS TIMESTAMP_NTZ) AS e FROM events",
-        "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(make_timestamp(event_id * 86400000000), '%Y-%m-%d') AS b, CAST(user_id AS VARCHAR) AS c, strftime(ts, '%A') AS d, make_timestamp(event_id * 1000001) AS e FROM events",
+        "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS a, from_unixtime(event_id * 86400, 'yyyy-MM-dd') AS b, date_format(ts, 'D') AS c, date_format(ts, 'EEEE') AS d, CAST(timestamp_micros(event_id * 1000001) AS TIMESTAMP_NTZ) AS e FROM events",
+        "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(make_timestamp(event_id * 86400000000), '%Y-%m-%d') AS b, strftime(ts, '%-j') AS c, strftime(ts, '%A') AS d, make_timestamp(event_id * 1000001) AS e FROM events",
     ),
     "fn_math_more": (
         "SELECT event_id, nanvl(CASE WHEN event_id % 2 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END, -1e0) AS a, round(cot(value + 1), 6) AS b, round(sinh(value / 500), 6) AS c, round(cosh(value / 500), 6) AS d, round(tanh(value / 500), 6) AS e, round(asinh(value), 6) AS f, round(acosh(value + 1), 6) AS g, round(atanh(value / 1000), 6) AS h, round(asin(value / 1000), 6) AS i, round(acos(value / 1000), 6) AS j, round(atan(value), 6) AS k, round(tan(value), 4) AS l, round(log(3, value + 1), 6) AS m, rand() >= 0 AND rand() < 1 AS n, negative(user_id) AS o FROM events",
