@@ -455,6 +455,20 @@ def test_chats_in_order(spark):
     assert {(got[c, 0].root_conv, got[c, 0].root_turn) for c in (900, 901)} == {(900, 0)} and {got[900, 0].position, got[901, 0].position} == {420, 421}
 
 
+def test_a_hot_line_of_a_hot_conversation(spark):
+    """Quotes of one line in one conversation lie in several ranges, and find what earlier ranges hold."""
+    rows = [(1, 0, "user", "old line"), *[(1, t, "user", "> old line\n" + ("old line" if t == 90 else f"answer {t}")) for t in range(1, 200)]]
+    rows += [(2, t, "user", "> old line\n> none") for t in range(5)] + [(0, 3, "user", "> old line")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        links = {(r.conv_id, r.turn): (r.lines, r.linked, r.to_conv, r.to_turn) for r in chat_format.quote_links(m).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert links == {**{(1, t): (1, 1, 1, 0 if t <= 90 else 90) for t in range(1, 200)}, **{(2, t): (2, 1, 1, 0) for t in range(5)}, (0, 3): (1, 1, 1, 0)}
+
+
 def test_chats_without_quotes(spark):
     got = {(r.conv_id, r.turn): r.text for r in queries.QUERIES["op3_chat_format"](spark, SF).collect()}
     assert got == {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}

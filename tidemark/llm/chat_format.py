@@ -14,9 +14,9 @@ often that chain goes over to another conversation (hops), then by turn, so an
 answer stands after what it answers.  ``position`` is how many messages stand
 before, of all conversations; equal messages of one turn share it.
 
-Everything but the running count of positions is DataFrame functions.  A line of a hot conversation or a hot line
-meets its quotes in a sorted window, whose memory doesn't grow; only lines that
-are quoted somewhere take part.
+Everything but the running count of positions is DataFrame functions.  A hot line,
+or one of a hot conversation, meets its quotes in ranges of turns, several to a
+line if need be; only lines that are quoted somewhere take part.
 
 Defined cases: a null text stays null; an empty one stays empty; a message whose
 conversation or turn is null is never linked; a text without quotes is unchanged;
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, join_spread
 
 PREFIX = r"^[ \\t]*>(?:[ \\t]*>)*[ \\t]?"
 #: How the line before a quote ends.
@@ -67,6 +67,35 @@ def _lines(p: DataFrame, quoted: bool) -> DataFrame:
     return p.where("t <> ''").select("conv_id", "turn", "id", "pos", "level", F.md5("t").alias("h"))
 
 
+def _latest_before(own: DataFrame, q: DataFrame) -> DataFrame:
+    """q with found: the latest turn before in the same conversation that holds the line, of own.
+
+    Both are dealt out by ranges of (conversation, line, turn) and looked at in
+    order within a range; a range begins with what the ones before it have found, so
+    that one line of one conversation may fill many tasks.
+    """
+    none, key = F.lit(None), ["conv_id", "h"]
+    sides = own.select(*key, "turn", F.lit(1).alias("kind"), F.col("turn").alias("found"), none.cast("string").alias("id"), none.cast("int").alias("pos"), none.cast("int").alias("level"), none.cast("int").alias("passage"))
+    sides = sides.union(q.select(*key, "turn", F.lit(0), none.cast(own.schema["turn"].dataType), "id", "pos", "level", "passage"))
+    sides = cut(sides.repartitionByRange(*key, "turn", "kind").withColumn("part", F.spark_partition_id()), "quotes-in-order")
+    before = Window.partitionBy("part", *key).orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = sides.withColumn("found", F.last("found", ignorenulls=True).over(before))
+    ends = sides.groupBy("part").agg(F.min(F.struct(*key)).alias("a"), F.max(F.struct(*key, "turn", "kind", "found")).alias("b"))
+    carried, last, held = [], None, None
+    for r in sorted(ends.collect(), key=lambda r: r.part):  # one row a range
+        if held is not None and last == tuple(r.a):
+            carried.append((r.part, *last, held))
+        if held is None or last != (r.b.conv_id, r.b.h) or r.b.found is not None:
+            held = r.b.found
+        last = (r.b.conv_id, r.b.h)
+    kinds = sides.schema
+    schema = T.StructType([T.StructField(n, kinds[c].dataType) for n, c in (("part", "part"), ("c_conv", "conv_id"), ("c_h", "h"), ("carried", "turn"))])
+    start = F.broadcast(sides.sparkSession.createDataFrame(carried, schema))
+    sides = sides.where("kind = 0").join(start, "part", "left")
+    here = (F.col("conv_id") == F.col("c_conv")) & (F.col("h") == F.col("c_h"))
+    return sides.select(*q.columns, F.coalesce("found", F.when(here, F.col("carried"))).alias("found"))
+
+
 def quote_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, id, passage, level, lines, linked, to_conv, to_turn) of each quoted passage; passage: its first line's number."""
     p = parsed(messages)
@@ -76,16 +105,12 @@ def quote_links(messages: DataFrame) -> DataFrame:
     q = cut(q.withColumn("passage", F.last("passage", ignorenulls=True).over(near)), "quoted-lines")
     own = _lines(p, False).select("conv_id", "turn", "h").distinct().join(q.select("h").distinct(), "h", "left_semi")
     own = cut(own.select("conv_id", "turn", "h"), "quoted-originals")
-    # the latest earlier turn of the same conversation with the line
-    none = F.lit(None)
-    sides = own.select("conv_id", "h", "turn", F.lit(1).alias("kind"), F.col("turn").alias("found"), none.cast("string").alias("id"), none.cast("int").alias("pos"), none.cast("int").alias("level"), none.cast("int").alias("passage"))
-    sides = sides.union(q.select("conv_id", "h", "turn", F.lit(0), none.cast(own.schema["turn"].dataType), "id", "pos", "level", "passage"))
-    before = Window.partitionBy("conv_id", "h").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same = sides.withColumn("found", F.last("found", ignorenulls=True).over(before)).where("kind = 0")
-    # otherwise the first message anywhere
-    first = own.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    hit = same.join(first, "h", "left")
-    other = "found is null and first is not null and first.conv_id <> conv_id"
+    same = _latest_before(own, q)
+    # otherwise the first message anywhere; a line many quote is joined by a broadcast
+    first = own.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
+    first = q.groupBy("h").agg(F.count("*").alias("size")).join(first, "h", "left").select("h", "size", F.struct("at.conv_id", "at.turn").alias("first"))
+    hit = join_spread(same, first, "h", "first", q.count())
+    other = "found is null and first.conv_id <> conv_id"
     hit = hit.select("conv_id", "turn", "id", "passage", "level", F.expr(f"case when found is not null then conv_id when {other} then first.conv_id end").alias("to_conv"), F.expr(f"case when found is not null then found when {other} then first.turn end").alias("to_turn"))
     votes = hit.groupBy("conv_id", "turn", "id", "passage", "level", "to_conv", "to_turn").agg(F.count("*").alias("n"))
     best = F.max(F.when(F.col("to_turn").isNotNull(), F.struct("n", (F.col("to_conv") == F.col("conv_id")).alias("here"), "to_turn", "to_conv")))
