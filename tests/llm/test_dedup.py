@@ -148,6 +148,32 @@ def test_suffix_on_documents(spark):
     assert found(queries.QUERIES["op4_suffix_dedup"](spark, SF), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.suffix(rows)
 
 
+def test_suffix_on_more_documents(spark):
+    """Every document of sf0.01 against a plain count of all 400-byte strings (by digests of 16 bytes)."""
+    import hashlib
+    from collections import Counter
+
+    sf, n = "/root/testdata/sf0.01", 400
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    at = {k: [hashlib.blake2b(t[i : i + n], digest_size=16).digest() for i in range(len(t) - n + 1)] for k, t in texts.items()}
+    count = Counter(x for v in at.values() for x in v)
+    got = found(queries.QUERIES["op4_suffix_dedup"](spark, sf), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert len(got) == len(texts) == 1000
+    hit = 0
+    for k, t in texts.items():
+        gone = np.zeros(len(t) + 1, int)
+        for i, x in enumerate(at[k]):
+            if count[x] > 1:
+                gone[i] += 1
+                gone[min(len(t), i + n)] -= 1
+        gone = np.cumsum(gone[: len(t)]) > 0
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(t) else 0
+        assert got[k] == (len(t), int(gone.sum()), spans, brute.sha(kept)), k
+        hit += bool(gone.any())
+    assert hit > 200
+
+
 def test_bucket_pointers_without_hashes():
     rng = np.random.RandomState(2)
     data = rng.randint(97, 99, 3000).astype(np.uint8)
@@ -200,6 +226,37 @@ def test_near_on_documents(spark):
     assert {k: v[0] for k, v in got.items()} == brute.classes(rows)
 
 
+def test_near_on_more_documents(spark):
+    """All classes of sf0.01 against all pairs that share a shingle, aligned by brute force."""
+    from collections import defaultdict
+
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    s = [brute.shingles(t) for _, t in rows]
+    holders, common = defaultdict(list), defaultdict(int)
+    for i, g in enumerate(s):
+        for x in g:
+            for j in holders[x]:
+                common[j, i] += 1
+            holders[x].append(i)
+    root = {k: k for k, _ in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = 0
+    for (j, i), m in common.items():
+        if m / (len(s[i]) + len(s[j]) - m) >= 0.8 - 1e-9 and (s[i] == s[j] or brute.aligned(s[i], s[j]) >= 0.8 - 1e-9):
+            a, b = find(rows[i][0]), find(rows[j][0])
+            root[max(a, b)] = min(a, b)
+            links += 1
+    assert links > 90
+    got = found(queries.QUERIES["op9_near_dedup"](spark, sf), "class_id")
+    assert {k: v[0] for k, v in got.items()} == {k: find(k) for k, _ in rows}
+
+
 def test_chain_of_copies(spark):
     """Neighbours are linked, ends are not: all are one class."""
     base = [f"w{i}" for i in range(200)]
@@ -260,18 +317,6 @@ def test_short_texts_meet(spark):
     assert got == {i: i // 2 * 2 for i in range(1200)}
 
 
-def test_hot_keys_are_spread(spark, monkeypatch):
-    from tidemark.llm import shared
-
-    monkeypatch.setattr(shared, "HOT_ROWS", 2)
-    rows = spark.createDataFrame([(i, i % 3 if i % 2 else 0) for i in range(60)] + [(99, 7), (100, None)], "id long, key long")
-    side = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("key is not null and key <> 2")
-    got = sorted(map(tuple, shared.join_spread(rows, side, "key", "least", 62).collect()))
-    assert got == sorted((r.id, r.key, {0: 0, 1: 1, 7: 99}[r.key]) for r in rows.collect() if r.key in (0, 1, 7))
-    test_chain_of_copies(spark)
-    test_copies_too_far_from_each_other(spark)
-
-
 def test_second_text_of_a_copy(spark):
     """An id with a copy of a smaller id's text and a text of its own, of which another has a near copy."""
     one, two = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")

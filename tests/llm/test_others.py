@@ -485,3 +485,70 @@ def test_chats_oracle(spark):
     c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     m = spark.createDataFrame([tuple(r) for r in rows], "conv_id long, turn long, role string, text string")
     assert compare(chat_format.format_chat(m), c, sql) == len(rows)
+
+
+# cases that all operators share
+
+
+EXTRA = "did id h key places w row quality good held_out firsts n start n_tokens score n_words kept class_id found text_ lo hi part size".split()
+
+
+def operators():
+    """Name and (docs, spark) -> DataFrame of every operator on documents."""
+    from tidemark.llm import near_dedup, substring_dedup, suffix_dedup
+
+    piece, bpe = queries.vocabulary("piece_bpe_32k.model"), queries.vocabulary("byte_bpe_50k.json")
+    labels = lambda s: s.createDataFrame([(i, i % 2) for i in range(12)] + [(3, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    bench = lambda s: s.createDataFrame(ITEMS, "item_id int, text string")
+    return {
+        "op1": lambda d, s: sentencepiece_scan.encode(d, piece), "op2": lambda d, s: substring_dedup.substring_dedup(d), "op2 texts": lambda d, s: substring_dedup.without_repeats(d), "op4": lambda d, s: suffix_dedup.suffix_dedup(d),
+        "op5": lambda d, s: quality_classifier.score_quality(d, labels(s)), "op5 texts": lambda d, s: quality_classifier.keep_good(d, labels(s)), "op6": lambda d, s: token_bins.token_digest(d, bpe), "op8": lambda d, s: decontaminate.score_contamination(d, bench(s)),
+        "op8 texts": lambda d, s: decontaminate.decontaminate(d, bench(s), "both"), "op9": lambda d, s: near_dedup.near_dedup(d), "op9 texts": lambda d, s: near_dedup.one_of_each(d), "op10": lambda d, s: quality_rules.quality_rules(d),
+    }
+
+
+@pytest.mark.parametrize("name", sorted(operators()))
+def test_other_columns_and_repeated_rows(spark, name):
+    """Columns of the operators' own names, null and repeated ids, equal and conflicting rows change no result; columns stay as they are."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " end"), (3, None), (3, ""), (3, "other words"), (None, "a b"), (None, None), (4, "say: short-item here!")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = spark.createDataFrame([(*r, *[f"{c}{k}" for c in EXTRA]) for k, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in EXTRA))
+    run = operators()[name]
+    a, b = run(plain, spark), run(wide, spark)
+    key = lambda df: sorted((str([r[c] for c in a.columns]) for r in df.collect()))
+    assert key(a) == key(b)
+    if name.endswith("texts"):
+        assert b.columns == wide.columns
+        tags = {str((r.doc_id, r[EXTRA[0]])) for r in b.collect()}
+        assert tags <= {str((i, f"{EXTRA[0]}{k}")) for k, (i, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("name", sorted(operators()))
+def test_one_very_long_text(spark, name):
+    """A text of two million characters, a copy of it with another end, and one long word, beside short ones."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(300_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " another end"), (3, "z" * 300_000), (4, "short one")], "doc_id long, text string")
+    out = {r.doc_id: r for r in operators()[name](docs, spark).collect()}
+    if name == "op9":
+        assert {k: r.class_id for k, r in out.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    elif name == "op2":
+        assert {k: r.n_removed for k, r in out.items()} == {1: 0, 2: 300_000, 3: 0, 4: 0}
+    elif name == "op4":
+        assert {k: r.n_removed for k, r in out.items()} == {1: len(long), 2: len(long), 3: 300_000, 4: 0}
+    elif name == "op1":
+        assert all(r.round_trip for r in out.values()) and out[1].n_chunks > 100
+    else:
+        assert len(out) > 0
+
+
+def test_conflicting_labels(spark):
+    """Half of an id's labels or more being 1 makes it good; a label of several texts of one id counts for all of them."""
+    good, bad = "a fine long sentence about the sea and the wind", "$$$ ### !!! ||| $$$ ###"
+    ids = [i for i in range(200) if __import__("zlib").crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"{good if i % 2 else bad} {i}") for i in ids] + [(ids[0], good)], "doc_id long, text string")
+    labels = spark.createDataFrame([x for i in ids for x in ([(i, 1), (i, 0)] if i % 2 else [(i, 0), (i, 0), (i, 1)])], "doc_id long, quality int")
+    got = quality_classifier.score_quality(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id != ids[0])

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, join_spread
+from .shared import cut
 
 PREFIX = r"^[ \\t]*>(?:[ \\t]*>)*[ \\t]?"
 #: How the line before a quote ends.
@@ -106,10 +106,9 @@ def quote_links(messages: DataFrame) -> DataFrame:
     own = _lines(p, False).select("conv_id", "turn", "h").distinct().join(q.select("h").distinct(), "h", "left_semi")
     own = cut(own.select("conv_id", "turn", "h"), "quoted-originals")
     same = _latest_before(own, q)
-    # otherwise the first message anywhere; a line many quote is joined by a broadcast
-    first = own.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("at"))
-    first = q.groupBy("h").agg(F.count("*").alias("size")).join(first, "h", "left").select("h", "size", F.struct("at.conv_id", "at.turn").alias("first"))
-    hit = join_spread(same, first, "h", "first", q.count())
+    # otherwise the first message anywhere; one row a line, so a skewed join may split the others
+    first = own.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    hit = same.join(first, "h", "left")
     other = "found is null and first.conv_id <> conv_id"
     hit = hit.select("conv_id", "turn", "id", "passage", "level", F.expr(f"case when found is not null then conv_id when {other} then first.conv_id end").alias("to_conv"), F.expr(f"case when found is not null then found when {other} then first.turn end").alias("to_turn"))
     votes = hit.groupBy("conv_id", "turn", "id", "passage", "level", "to_conv", "to_turn").agg(F.count("*").alias("n"))

@@ -12,7 +12,8 @@ allows; within it the alignment is exact (sparse dynamic programming over the
 matches).  A class is a connected component of links; its id is its smallest
 doc_id.
 
-Large groups are not paired off.  Equal texts are one.  In each bucket every text
+Large groups are not paired off, and joins by a bucket or an equal text are with one
+row of each key, so Spark's skew join may split hot keys.  Equal texts are one.  In each bucket every text
 is first paired with the bucket's smallest only; links found that way give
 components; then, in buckets that still hold several components, texts from
 different components are compared as well, so that a link that joins two
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import bounded_batches, cut, join_spread
+from .shared import bounded_batches, cut
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -294,8 +295,8 @@ def _across(rows: DataFrame, similarity: float) -> DataFrame:
 
 def _split(rows: DataFrame) -> DataFrame:
     """The rows (key, id, root) of buckets that hold several components."""
-    several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y")
-    return join_spread(rows.select("key", "id", "root"), several, "key", "x", rows.count()).drop("x")
+    several = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return rows.join(several, "key", "left_semi").select("key", "id", "root")
 
 
 def _id():
@@ -308,15 +309,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     bounded_batches(docs.sparkSession)
     d = docs.select(_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     sk = cut(_sketched(d.withColumn("same", F.unhex(F.md5("text")))), "sketches")
-    total = sk.count()
     # equal texts are one: the smallest id stands for them
-    head = sk.groupBy("same").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
-    copies = cut(join_spread(sk.select("id", "same"), head, "same", "head", total).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"), "same").distinct(), "copies")
+    head = sk.groupBy("same").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1").select("same", "head")
+    copies = cut(sk.select("id", "same").join(head, "same").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"), "same").distinct(), "copies")
     # an id's other texts stay
     reps = sk.join(copies.select(F.col("a").alias("id"), "same"), ["id", "same"], "left_anti") if copies.limit(1).count() else sk
     rows = reps.select("id", F.explode("keys").alias("key"))
-    least = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1")
-    met = cut(join_spread(rows.select("key", "id"), least, "key", "least", TABLES * total).distinct(), "buckets")
+    least = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("key", "least")
+    met = cut(rows.join(least, "key").distinct(), "buckets")
     stars = met.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     texts = cut(d.join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     links = cut(_verified(stars, texts, similarity), "links")
@@ -324,12 +324,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     label = met.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     label = cut(label, "labels")
     # only buckets that still hold several components go on, with those of their texts that can be linked with another
-    open_ = cut(_split(cut(met.select("key", "id").join(label, "id"), "labelled")), "open-buckets")
+    open_ = cut(_split(met.select("key", "id").join(label, "id")), "open-buckets")
     alone = _own_kmers(texts.join(open_.select("id").distinct(), "id", "left_semi"))
     sides = reps.select("id", "n").join(open_.select("id").distinct(), "id", "left_semi").join(alone, "id", "left")
     # at best with a text of 0.8 times its k-mers
     able = sides.where((F.col("n") - F.coalesce("own", F.lit(0))) >= similarity * F.col("n") - 1e-9).select("id").distinct()
-    open_ = _split(cut(open_.join(able, "id", "left_semi"), "open-buckets"))
+    open_ = _split(open_.join(able, "id", "left_semi"))
     more = cut(_across(open_.join(texts, "id").select("key", "id", "root", "text"), similarity), "links")
     edges = copies.select("a", "b").distinct().union(links).union(more)
     found = components(edges)

@@ -7,12 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A key counts as hot from so many rows, or from the HOT_KEYS-th part of all rows if that is more.
-HOT_ROWS = 1_000
-#: So there are at most so many hot keys, whatever the table's size; they are broadcast.
-HOT_KEYS = 100_000
 BATCH_ROWS = 2_000
 BATCH_BYTES = 4 << 20
 #: Rows that Parquet's reader decodes at once; its vectors hold all their texts, and grow by doubling.
@@ -65,18 +60,3 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def join_spread(rows: DataFrame, side: DataFrame, key: str, value: str, total: int) -> DataFrame:
-    """rows joined with side's (key, value) on key, value not null and one row a key; hot keys don't meet in one task.
-
-    side also has ``size``, how many of the total rows have the key.  Keys of more
-    than a HOT_KEYS-th part of them, HOT_KEYS at most, are broadcast; their rows go
-    through the join under keys of their own.
-    """
-    limit = max(HOT_ROWS, total // HOT_KEYS)
-    hot = side.where(F.col("size") > limit).select(key, F.col(value).alias("__hot"))
-    cold = side.where(F.col("size") <= limit).select(F.xxhash64(key).alias("__by"), F.col(key).alias("__key"), value)
-    own = F.when(F.col("__hot").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(*rows.columns, F.lit(1)))
-    met = rows.join(F.broadcast(hot), key, "left").withColumn("__by", own)
-    met = met.join(cold, (met["__by"] == cold["__by"]) & (met[key] == cold["__key"]), "left")
-    return met.where(F.col("__hot").isNotNull() | F.col(value).isNotNull()).select(*rows.columns, F.coalesce("__hot", value).alias(value))
