@@ -149,10 +149,10 @@ def _item_blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[Item]]:
 
 
 def _one_or_more(benchmark: DataFrame, max_bytes: int) -> tuple[list[Item], bool]:
-    """The first list of items, and whether there are more."""
+    """The items and False if one list holds them all; else nothing and True."""
     lists = _item_blocks(benchmark, max_bytes)
     first = next(lists)
-    return first, next(lists, None) is not None
+    return ([], True) if next(lists, None) is not None else (first, False)
 
 
 def _broadcast(docs: DataFrame, items: list[Item], n: int):
