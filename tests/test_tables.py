@@ -591,6 +591,70 @@ def test_arrow_results(engine):
     assert engine.health() == {"live": True, "ready": True}
 
 
+def test_tokens():
+    from tidemark.plans import access as A
+
+    key, claims = b"secret", {"sub": "user:a", "roles": ["reader"], "exp": 2000, "iss": "me", "aud": ["tables", "x"]}
+    token = A.sign(claims, key)
+    assert A.authenticate(f"Bearer {token}", key, "me", "tables", now=1000) == A.Principal("user:a", ("reader",))
+    head, body, mac = token.split(".")
+    none = A.base64.urlsafe_b64encode(b'{"alg":"none"}').rstrip(b"=").decode()
+    for bad, k, issuer, audience, now in ((token, b"other", None, None, 1000), (token, key, "you", None, 1000), (token, key, None, "y", 1000), (token, key, None, None, 2000), (f"{none}.{body}.", key, None, None, 1), (f"{head}.{body}x.{mac}", key, None, None, 1), ("a.b", key, None, None, 1), (A.sign({"sub": "x"}, key), key, None, None, 1)):
+        with pytest.raises(A.Unauthenticated):
+            A.authenticate(bad, k, issuer, audience, now)
+
+
+def test_rules_and_admission():
+    from tidemark.plans import access as A
+
+    rules = A.Rules([A.Rule("ops_*", "Admin", "Cluster"), A.Rule("*", "Query", "Table(secret.*)", allow=False), A.Rule("reader", "Query", "Table(*.events)"), A.Rule("writer", "*", "Table(shop.*)")])
+    may = lambda role, action, resource: rules.check(A.Principal("p", (role,)), action, resource)
+    for ok in (("ops_x", "Admin", "Cluster"), ("reader", "Query", "Table(a.events)"), ("writer", "Ingest", "Table(shop.t)"), ("writer", "DropTable", "Table(shop.t)")):
+        may(*ok)
+    for no in (("ops", "Admin", "Cluster"), ("reader", "Query", "Table(secret.events)"), ("reader", "Ingest", "Table(a.events)"), ("writer", "Query", "Table(shopping.t)"), ("writer", "CreateTable", "Namespace(shop)"), ("nobody", "Query", "Cluster")):
+        with pytest.raises(A.Forbidden):
+            may(*no)
+    a, p = A.Admission(reads=2, writes=1, window=10, max_bytes=5), A.Principal("p")
+    a.admit(p, "read", now=0)
+    a.admit(p, "read", now=9)
+    a.admit(p, "write", now=9)
+    a.admit(A.Principal("q"), "read", now=9)
+    with pytest.raises(A.TooManyRequests) as e:
+        a.admit(p, "read", now=9.5)
+    assert e.value.retry_after == 0.5
+    a.admit(p, "read", now=10)
+    with pytest.raises(C.InvalidArgument):
+        a.admit(p, "write", size=6, now=20)
+    for i in range(A.MAX_CALLERS + 500):  # callers beyond the bound share counters
+        try:
+            a.admit(A.Principal(f"c{i}"), "read", now=30)
+        except A.TooManyRequests:
+            assert i > A.MAX_CALLERS - 10
+    assert len(a._used) <= A.MAX_CALLERS + A.SHARED
+
+
+def test_guarded_engine(engine):
+    from tidemark.plans import access as A
+
+    rules = A.Rules([A.Rule("reader", "Query", "Table(shop.*)"), A.Rule("owner", resource="Table(shop.*)"), A.Rule("owner", "CreateTable", "Namespace(shop)"), A.Rule("owner", "Query", "Table(other.*)")])
+    owner, reader = (A.Guarded(engine, A.Principal(r, (r,)), rules) for r in ("owner", "reader"))
+    owner.sql("CREATE TABLE shop.t (x INT)")
+    engine.sql("CREATE TABLE other.t (x INT)")
+    engine.sql("INSERT INTO other.t VALUES (5)")
+    owner.sql("INSERT INTO shop.t SELECT x FROM other.t")
+    owner.json("shop.t", {"x": 6})
+    assert owner.flush("shop.t") == "flushed" and owner.maintain("shop.t")["compacted"] == 2
+    assert rows(reader.sql("SELECT x FROM shop.t")) == [(5,), (6,)] and reader.rows("SELECT max(x) AS m FROM shop.t") == ['{"m":6}']
+    assert reader.arrow("SELECT x FROM shop.t WHERE x > 5").read_all().num_rows == 1
+    for no in ("SELECT x FROM other.t", "SELECT (SELECT max(x) FROM other.t) FROM shop.t", "WITH t AS (SELECT * FROM other.t) SELECT * FROM t", "INSERT INTO shop.t VALUES (1)", "DROP TABLE shop.t", "CREATE TABLE shop.u (x INT)", "SELECT 1", "DESCRIBE other.t", "SHOW TABLES"):
+        with pytest.raises(A.Forbidden):
+            reader.sql(no)
+    for call in (lambda: reader.json("shop.t", {"x": 1}), lambda: reader.flush("shop.t"), lambda: reader.maintain("shop.t"), lambda: reader.metrics(), lambda: owner.sql("CREATE TABLE other.u (x INT)"), lambda: owner.sql("INSERT INTO other.t SELECT x FROM shop.t")):
+        with pytest.raises(A.Forbidden):
+            call()
+    assert rows(engine.sql("SELECT x FROM shop.t")) == [(5,), (6,)]
+
+
 def test_maintenance_loop(spark, engine):
     engine.create_from("t", spark.range(3).coalesce(1))
     for i in range(3):
