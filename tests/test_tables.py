@@ -251,6 +251,52 @@ def test_pins_of_other_processes(spark, engine):
     assert engine.catalog.pinned(ident) == set() and not engine.catalog.store.list(engine.catalog.location(ident) + "/pins")
 
 
+def test_metadata_cache(spark, engine):
+    """Within its time to live a table is not read again, unless this catalog changed it."""
+    engine.create_from("t", spark.range(2))
+    cached = C.Catalog(spark, engine.catalog.warehouse, ttl=60)
+    ident = ("default", "t")
+    first = cached.load(ident)
+    append(engine.catalog, ident, spark.range(3))
+    assert cached.load(ident) is first and engine.catalog.load(ident).state["version"] > first.state["version"]
+    append(cached, ident, spark.range(4))
+    assert len(cached.load(ident).state["snapshots"]) == 3
+
+
+def test_equality_deletes_are_refused(spark, engine):
+    engine.create_from("t", spark.range(2))
+    engine.catalog.commit_snapshot(("default", "t"), "delete", [], deletes=[{"path": "x", "rows": 1, "content": "equality"}])
+    with pytest.raises(NotImplementedError):
+        engine.table("t")
+
+
+@pytest.mark.parametrize("codec", ["none", "snappy", "gzip", "lz4_raw", "zstd"])
+def test_codecs(spark, engine, codec):
+    import pyarrow.parquet as pq
+
+    from tidemark.sources import files
+
+    engine.create_from("t", spark.range(0))
+    written = files.write_files(engine.catalog, ("default", "t"), spark.range(1000).coalesce(1), codec=codec)
+    engine.catalog.commit_snapshot(("default", "t"), "append", written)
+    meta = pq.read_metadata(written[0]["path"].removeprefix("file:"))
+    assert meta.row_group(0).column(0).compression == {"none": "UNCOMPRESSED", "lz4_raw": "LZ4"}.get(codec, codec.upper()) and engine.table("t").count() == 1000
+    with pytest.raises(C.InvalidArgument):
+        files.write_files(engine.catalog, ("default", "t"), spark.range(1), codec="other")
+
+
+def test_properties_by_compare_and_set(engine):
+    engine.sql("CREATE TABLE t (x INT)")
+    ident, c = ("default", "t"), engine.catalog
+    c.set_property(ident, "k", "1", expected=None)
+    c.set_property(ident, "k", "2", expected="1")
+    with pytest.raises(C.Conflict):
+        c.set_property(ident, "k", "3", expected="1")
+    assert c.load(ident).state["properties"] == {"k": "2"}
+    c.set_property(ident, "k", None, expected="2")
+    assert c.load(ident).state["properties"] == {}
+
+
 def test_not_null(engine):
     engine.sql("CREATE TABLE t (x INT NOT NULL)")
     with pytest.raises(C.InvalidArgument):
