@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 import __spark_entry__ as entry
@@ -73,3 +75,14 @@ def test_full_join_keeps_both_sides(spark, tmp_path):
     spark.createDataFrame([(5,), (71,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {(r.l, r.r) for r in catalogue.queries()["join_full"](spark, str(tmp_path)).collect()}
     assert got == {(70, None), (71, 71), (None, 5)}
+
+
+@pytest.mark.parametrize("name", ["fn_math", "fn_math_more"])
+def test_logarithms_of_no_positive_number(spark, tmp_path, name):
+    rows = [(i, i, v) for i, v in enumerate([0.0, -1.0, -2.5, None, 1.0, 12.34])]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    next((tmp_path / "rows").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    assert compare(catalogue.queries()[name](spark, str(tmp_path)), duck(tmp_path), catalogue.oracle_sql()[name]) == 6
+    column = {"fn_math": "g", "fn_math_more": "m"}[name]
+    got = {r.event_id: r[column] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
+    assert got[{"fn_math": 0, "fn_math_more": 1}[name]] == float("-inf") and math.isnan(got[2]) and got[3] is None

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import date_bin, digest, gcd, lcm, register, round_toward_zero, url_path_hash
 
+
+def _log(call: str, x: str) -> str:
+    """A logarithm of x that is minus infinity at 0 and NaN below, where Spark's is null."""
+    return f"CASE WHEN {x} = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN {x} < 0 THEN CAST('NaN' AS DOUBLE) ELSE {call} END"
+
+
 SCALAR: dict[str, tuple[str, str | None]] = {
     "fn_string": (
         "SELECT p_partkey, upper(p_name) AS a, lower(p_brand) AS b, CAST(length(p_name) AS BIGINT) AS c, concat(p_brand, '-', p_type) AS d, concat_ws('|', p_brand, p_type) AS e, replace(p_name, 'red', 'RED') AS f, reverse(p_name) AS g, split_part(p_name, ' ', 2) AS h, CAST(instr(p_name, 'e') AS BIGINT) AS i, left(p_name, 3) AS j, right(p_name, 3) AS k, lpad(p_type, 12, '*') AS l, rpad(p_type, 12, '.') AS m, repeat('ab', 3) AS n, startswith(p_name, 'small') AS o, endswith(p_name, 'ring') AS p, translate(p_name, 'aei', 'xyz') AS q, trim('  x ') AS r, ltrim('  x ') AS s, rtrim('  x ') AS t, CAST(ascii(p_type) AS INT) AS u, chr(65) AS v, CAST(levenshtein(p_name, p_type) AS BIGINT) AS w, CAST(octet_length(p_name) AS BIGINT) AS x, initcap(p_name) AS y, substring(p_name, 2, 3) AS z FROM part",
@@ -23,7 +29,10 @@ SCALAR: dict[str, tuple[str, str | None]] = {
         "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, CAST(date_part('quarter', o_orderdate) AS BIGINT) AS b, CAST(extract(DAY FROM o_orderdate) AS BIGINT) AS c, CAST(dayofyear(o_orderdate) AS BIGINT) AS d, make_date(2020, 2, 29) AS e, strftime(o_orderdate, '%Y/%m/%d') AS f, CAST(epoch(o_orderdate) AS BIGINT) AS g, DATE '2021-03-04' AS h, CAST(date_diff('day', o_orderdate, DATE '2001-08-01') AS BIGINT) AS i, CAST(last_day(o_orderdate) AS DATE) AS j FROM orders",
     ),
     "fn_interval": ("SELECT o_orderkey, CAST(o_orderdate + INTERVAL '3' MONTH AS DATE) AS a, CAST(o_orderdate - INTERVAL '1' YEAR AS DATE) AS b, CAST(o_orderdate + INTERVAL '10' DAY AS DATE) AS c FROM orders", None),
-    "fn_math": ("SELECT event_id, abs(value - 50) AS a, CAST(ceil(value) AS BIGINT) AS b, CAST(floor(value) AS BIGINT) AS c, round(value, 1) AS d, round(sqrt(value), 6) AS e, round(power(value, 2), 4) AS f, round(ln(value), 6) AS g, round(log10(value), 6) AS h, round(log2(value), 6) AS i, round(exp(value / 500), 6) AS j, round(sin(value), 6) AS k, round(atan2(value, 3), 6) AS l, CAST(sign(value - 50) AS DOUBLE) AS m, round(cbrt(value), 6) AS n, round(degrees(1), 6) AS o, round(radians(180), 6) AS p, round(pi(), 8) AS q, CAST(factorial(5) AS BIGINT) AS r, isnan(value) AS s, user_id % 7 AS t FROM events", None),
+    "fn_math": (
+        f"SELECT event_id, abs(value - 50) AS a, CAST(ceil(value) AS BIGINT) AS b, CAST(floor(value) AS BIGINT) AS c, round(value, 1) AS d, round(sqrt(value), 6) AS e, round(power(value, 2), 4) AS f, round({_log('ln(value)', 'value')}, 6) AS g, round({_log('log10(value)', 'value')}, 6) AS h, round({_log('log2(value)', 'value')}, 6) AS i, round(exp(value / 500), 6) AS j, round(sin(value), 6) AS k, round(atan2(value, 3), 6) AS l, CAST(sign(value - 50) AS DOUBLE) AS m, round(cbrt(value), 6) AS n, round(degrees(1), 6) AS o, round(radians(180), 6) AS p, round(pi(), 8) AS q, CAST(factorial(5) AS BIGINT) AS r, CASE WHEN value IS NOT NULL THEN isnan(value) END AS s, user_id % 7 AS t FROM events",
+        "SELECT event_id, abs(value - 50) AS a, CAST(ceil(value) AS BIGINT) AS b, CAST(floor(value) AS BIGINT) AS c, round(value, 1) AS d, round(sqrt(value), 6) AS e, round(power(value, 2), 4) AS f, round(ln(value), 6) AS g, round(log10(value), 6) AS h, round(log2(value), 6) AS i, round(exp(value / 500), 6) AS j, round(sin(value), 6) AS k, round(atan2(value, 3), 6) AS l, CAST(sign(value - 50) AS DOUBLE) AS m, round(cbrt(value), 6) AS n, round(degrees(1), 6) AS o, round(radians(180), 6) AS p, round(pi(), 8) AS q, CAST(factorial(5) AS BIGINT) AS r, isnan(value) AS s, user_id % 7 AS t FROM events",
+    ),
     "fn_conditional": ("SELECT event_id, coalesce(NULLIF(event_type, 'click'), 'c') AS a, NULLIF(user_id, 3) AS b, greatest(value, 100, 50) AS c, least(value, 100) AS d, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 END AS e, ifnull(NULLIF(user_id, 5), -1) AS f FROM events", None),
     "fn_cast_try": (
         "SELECT event_id, CAST(value AS INT) AS a, CAST(user_id AS VARCHAR(20)) AS b, TRY_CAST(event_type AS INT) AS c, CAST('12.5' AS DOUBLE) AS d, CAST(ts AS DATE) AS e, TRY_CAST('2024-13-01' AS DATE) AS f, CAST(CAST(value AS DECIMAL(10, 1)) AS DOUBLE) AS g FROM (SELECT event_id, floor(value) + 0e0 AS value, user_id, event_type, ts FROM events)",
@@ -58,7 +67,7 @@ SCALAR: dict[str, tuple[str, str | None]] = {
         "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(make_timestamp(event_id * 86400000000), '%Y-%m-%d') AS b, strftime(ts, '%-j') AS c, strftime(ts, '%A') AS d, make_timestamp(event_id * 1000001) AS e FROM events",
     ),
     "fn_math_more": (
-        "SELECT event_id, nanvl(CASE WHEN event_id % 2 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END, -1e0) AS a, round(cot(value + 1), 6) AS b, round(sinh(value / 500), 6) AS c, round(cosh(value / 500), 6) AS d, round(tanh(value / 500), 6) AS e, round(asinh(value), 6) AS f, round(acosh(value + 1), 6) AS g, round(atanh(value / 1000), 6) AS h, round(asin(value / 1000), 6) AS i, round(acos(value / 1000), 6) AS j, round(atan(value), 6) AS k, round(tan(value), 4) AS l, round(log(3, value + 1), 6) AS m, rand() >= 0 AND rand() < 1 AS n, negative(user_id) AS o FROM events",
+        f"SELECT event_id, nanvl(CASE WHEN event_id % 2 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END, -1e0) AS a, round(cot(value + 1), 6) AS b, round(sinh(value / 500), 6) AS c, round(cosh(value / 500), 6) AS d, round(tanh(value / 500), 6) AS e, round(asinh(value), 6) AS f, round(acosh(value + 1), 6) AS g, round(atanh(value / 1000), 6) AS h, round(asin(value / 1000), 6) AS i, round(acos(value / 1000), 6) AS j, round(atan(value), 6) AS k, round(tan(value), 4) AS l, round({_log('log(3, value + 1)', 'value + 1')}, 6) AS m, rand() >= 0 AND rand() < 1 AS n, negative(user_id) AS o FROM events",
         "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN -1 ELSE value END AS a, round(cot(value + 1), 6) AS b, round(sinh(value / 500), 6) AS c, round(cosh(value / 500), 6) AS d, round(tanh(value / 500), 6) AS e, round(asinh(value), 6) AS f, round(acosh(value + 1), 6) AS g, round(atanh(value / 1000), 6) AS h, round(asin(value / 1000), 6) AS i, round(acos(value / 1000), 6) AS j, round(atan(value), 6) AS k, round(tan(value), 4) AS l, round(ln(value + 1) / ln(3), 6) AS m, true AS n, -user_id AS o FROM events",
     ),
     "fn_array_rows": (
