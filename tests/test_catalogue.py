@@ -86,3 +86,12 @@ def test_logarithms_of_no_positive_number(spark, tmp_path, name):
     column = {"fn_math": "g", "fn_math_more": "m"}[name]
     got = {r.event_id: r[column] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
     assert got[{"fn_math": 0, "fn_math_more": 1}[name]] == float("-inf") and math.isnan(got[2]) and got[3] is None
+
+
+@pytest.mark.parametrize("name, table, columns", [("fn_to_char", "events", "abcd"), ("fn_timestamp", "events", "d"), ("fn_date", "orders", "f")])
+def test_years_beyond_four_digits(spark, tmp_path, name, table, columns):
+    days = [0, 2932896, 2932897, 5999999, 35999999, -719528, -719529, -800000]
+    duck(tmp_path).execute(f"COPY (SELECT d AS event_id, d AS o_orderkey, TIMESTAMP '1970-01-01' + to_seconds(d * 86400) AS ts, ts AS o_orderdate FROM (SELECT CAST(unnest({days}) AS BIGINT) AS d)) TO '{tmp_path}/{table}.parquet'")
+    # Python has no such dates, so only the letters are compared
+    got = catalogue.queries()[name](spark, str(tmp_path)).select(*columns)
+    assert compare(got, duck(tmp_path), f"SELECT {', '.join(columns)} FROM ({catalogue.oracle_sql()[name]})") == len(days)

@@ -15,6 +15,11 @@ def _log(call: str, x: str) -> str:
     return f"CASE WHEN {x} = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN {x} < 0 THEN CAST('NaN' AS DOUBLE) ELSE {call} END"
 
 
+def _years(function: str, x: str, form: str) -> str:
+    """x in letters, its year as strftime writes it: without Spark's plus sign beyond 9999 and zeros before year 0."""
+    return f"regexp_replace({function}({x}, '{form}'), '^[+]|(?<=^-)0+', '')"
+
+
 SCALAR: dict[str, tuple[str, str | None]] = {
     "fn_string": (
         "SELECT p_partkey, upper(p_name) AS a, lower(p_brand) AS b, CAST(length(p_name) AS BIGINT) AS c, concat(p_brand, '-', p_type) AS d, concat_ws('|', p_brand, p_type) AS e, replace(p_name, 'red', 'RED') AS f, reverse(p_name) AS g, split_part(p_name, ' ', 2) AS h, CAST(instr(p_name, 'e') AS BIGINT) AS i, left(p_name, 3) AS j, right(p_name, 3) AS k, lpad(p_type, 12, '*') AS l, rpad(p_type, 12, '.') AS m, repeat('ab', 3) AS n, startswith(p_name, 'small') AS o, endswith(p_name, 'ring') AS p, translate(p_name, 'aei', 'xyz') AS q, trim('  x ') AS r, ltrim('  x ') AS s, rtrim('  x ') AS t, CAST(ascii(p_type) AS INT) AS u, chr(65) AS v, CAST(levenshtein(p_name, p_type) AS BIGINT) AS w, CAST(octet_length(p_name) AS BIGINT) AS x, initcap(p_name) AS y, substring(p_name, 2, 3) AS z FROM part",
@@ -25,7 +30,7 @@ SCALAR: dict[str, tuple[str, str | None]] = {
         r"SELECT page_id, regexp_matches(url, '^https') AS a, regexp_extract(url, '//([^/]+)/', 1) AS b, regexp_replace(url, '[0-9]+', 'N', 'g') AS c, CAST(len(regexp_extract_all(url, '/')) AS BIGINT) AS d FROM pages",
     ),
     "fn_date": (
-        "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, CAST(date_part('quarter', o_orderdate) AS BIGINT) AS b, CAST(extract(DAY FROM o_orderdate) AS BIGINT) AS c, CAST(dayofyear(o_orderdate) AS BIGINT) AS d, make_date(2020, 2, 29) AS e, date_format(o_orderdate, 'yyyy/MM/dd') AS f, CAST(unix_timestamp(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) AS g, to_date('2021-03-04') AS h, CAST(datediff(DATE '2001-08-01', o_orderdate) AS BIGINT) AS i, CAST(last_day(o_orderdate) AS DATE) AS j FROM orders",
+        f"SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, CAST(date_part('quarter', o_orderdate) AS BIGINT) AS b, CAST(extract(DAY FROM o_orderdate) AS BIGINT) AS c, CAST(dayofyear(o_orderdate) AS BIGINT) AS d, make_date(2020, 2, 29) AS e, {_years('date_format', 'o_orderdate', 'yyyy/MM/dd')} AS f, CAST(unix_timestamp(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) AS g, to_date('2021-03-04') AS h, CAST(datediff(DATE '2001-08-01', o_orderdate) AS BIGINT) AS i, CAST(last_day(o_orderdate) AS DATE) AS j FROM orders",
         "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, CAST(date_part('quarter', o_orderdate) AS BIGINT) AS b, CAST(extract(DAY FROM o_orderdate) AS BIGINT) AS c, CAST(dayofyear(o_orderdate) AS BIGINT) AS d, make_date(2020, 2, 29) AS e, strftime(o_orderdate, '%Y/%m/%d') AS f, CAST(epoch(o_orderdate) AS BIGINT) AS g, DATE '2021-03-04' AS h, CAST(date_diff('day', o_orderdate, DATE '2001-08-01') AS BIGINT) AS i, CAST(last_day(o_orderdate) AS DATE) AS j FROM orders",
     ),
     "fn_interval": ("SELECT o_orderkey, CAST(o_orderdate + INTERVAL '3' MONTH AS DATE) AS a, CAST(o_orderdate - INTERVAL '1' YEAR AS DATE) AS b, CAST(o_orderdate + INTERVAL '10' DAY AS DATE) AS c FROM orders", None),
@@ -53,17 +58,17 @@ SCALAR: dict[str, tuple[str, str | None]] = {
     ),
     "fn_hash": ("SELECT p_partkey, md5(p_name) AS a, sha2(p_name, 256) AS b, p_partkey & 12 AS c, p_partkey | 3 AS d, shiftleft(p_partkey, 2) AS e, shiftright(p_partkey, 1) AS f, p_partkey ^ 5 AS g, hex(p_name) AS h, base64(CAST(p_name AS BINARY)) AS i FROM part", "SELECT p_partkey, md5(p_name) AS a, sha256(p_name) AS b, p_partkey & 12 AS c, p_partkey | 3 AS d, p_partkey << 2 AS e, p_partkey >> 1 AS f, xor(p_partkey, 5) AS g, hex(p_name) AS h, to_base64(encode(p_name)) AS i FROM part"),
     "fn_timestamp": (
-        "SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS a, CAST(timestamp_seconds(event_id * 60) AS TIMESTAMP_NTZ) AS b, to_timestamp_ntz('2024-05-06 07:08:09') AS c, date_format(ts, 'yyyy-MM-dd HH:mm') AS d, CAST(hour(ts) AS BIGINT) AS e, CAST(weekday(ts) + 1 AS BIGINT) AS f, make_timestamp_ntz(2024, 2, 29, 1, 2, 3) AS g, CAST(unix_seconds(CAST(ts AS TIMESTAMP)) AS BIGINT) AS h FROM events",
+        f"SELECT event_id, CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS a, CAST(timestamp_seconds(event_id * 60) AS TIMESTAMP_NTZ) AS b, to_timestamp_ntz('2024-05-06 07:08:09') AS c, {_years('date_format', 'ts', 'yyyy-MM-dd HH:mm')} AS d, CAST(hour(ts) AS BIGINT) AS e, CAST(weekday(ts) + 1 AS BIGINT) AS f, make_timestamp_ntz(2024, 2, 29, 1, 2, 3) AS g, CAST(unix_seconds(CAST(ts AS TIMESTAMP)) AS BIGINT) AS h FROM events",
         "SELECT event_id, date_trunc('hour', ts) AS a, TIMESTAMP '1970-01-01' + to_seconds(event_id * 60) AS b, TIMESTAMP '2024-05-06 07:08:09' AS c, strftime(ts, '%Y-%m-%d %H:%M') AS d, CAST(hour(ts) AS BIGINT) AS e, CAST(isodow(ts) AS BIGINT) AS f, make_timestamp(2024, 2, 29, 1, 2, 3) AS g, CAST(floor(epoch(ts)) AS BIGINT) AS h FROM events",
     ),
     # digests DuckDB lacks are compared with the published ones of 'abc'
     "fn_encode": (
         "SELECT p_partkey, decode(unhex(hex(encode(p_name, 'UTF-8'))), 'UTF-8') AS a, decode(unbase64(base64(encode(p_brand, 'UTF-8'))), 'UTF-8') AS b, sha2(concat('a', substring('xbc', 2)), 224) AS c, sha2('abc', 384) AS d, sha2('abc', 512) AS e, length(sha2(p_name, 512)) AS f, sha2(p_name, 0) AS g, sha1(p_name) AS h, typeof(p_partkey) AS i FROM part",
-        "SELECT p_partkey, decode(unhex(hex(p_name))) AS a, decode(from_base64(to_base64(encode(p_brand)))) AS b, '23097d223405d8228642a477bda255b32aadbce4bda0b3f7e36c9da7' AS c, 'cb00753f45a35e8bb5a03d699ac65007272c32ab0eded1631a8b605a43ff5bed8086072ba1e7cc2358baeca134c825a7' AS d, 'ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f' AS e, CAST(128 AS INT) AS f, sha256(p_name) AS g, sha1(p_name) AS h, lower(typeof(p_partkey)) AS i FROM part",
+        f"SELECT p_partkey, decode(unhex(hex(p_name))) AS a, decode(from_base64(to_base64(encode(p_brand)))) AS b, '23097d223405d8228642a477bda255b32aadbce4bda0b3f7e36c9da7' AS c, 'cb00753f45a35e8bb5a03d699ac65007272c32ab0eded1631a8b605a43ff5bed8086072ba1e7cc2358baeca134c825a7' AS d, 'ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f' AS e, CAST(128 AS INT) AS f, sha256(p_name) AS g, sha1(p_name) AS h, lower(typeof(p_partkey)) AS i FROM part",
     ),
     "fn_clock": ("SELECT event_id, now() >= ts AND now() = current_timestamp() AS a, current_date() = CAST(now() AS DATE) AS b, current_date() > CAST(ts AS DATE) AS c FROM events", "SELECT event_id, now() >= ts AND now() = get_current_timestamp() AS a, current_date = CAST(now() AS DATE) AS b, current_date > CAST(ts AS DATE) AS c FROM events"),
     "fn_to_char": (
-        "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS a, from_unixtime(event_id * 86400, 'yyyy-MM-dd') AS b, date_format(ts, 'D') AS c, date_format(ts, 'EEEE') AS d, CAST(timestamp_micros(event_id * 1000001) AS TIMESTAMP_NTZ) AS e FROM events",
+        f"SELECT event_id, {_years('date_format', 'ts', 'yyyy-MM-dd HH:mm:ss')} AS a, {_years('from_unixtime', 'event_id * 86400', 'yyyy-MM-dd')} AS b, date_format(ts, 'D') AS c, date_format(ts, 'EEEE') AS d, CAST(timestamp_micros(event_id * 1000001) AS TIMESTAMP_NTZ) AS e FROM events",
         "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(make_timestamp(event_id * 86400000000), '%Y-%m-%d') AS b, strftime(ts, '%-j') AS c, strftime(ts, '%A') AS d, make_timestamp(event_id * 1000001) AS e FROM events",
     ),
     "fn_math_more": (
