@@ -740,3 +740,64 @@ def test_streaming_batches_commit_once(spark, engine, tmp_path):
     shutil.rmtree(tmp_path / "cp" / "commits")
     engine.ingest.stream("t", f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination()
     assert rows(engine.table("t")) == [(1,), (2,), (9,)]
+
+
+def _files(engine, ident):
+    return engine.catalog.load(ident).snapshot()["files"]
+
+
+def _shuffled(spark, job):
+    """What a job returns, and the most bytes a stage of it wrote for a shuffle."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    out = job()
+    return out, max((n for i, n in stages().items() if i not in before), default=0)
+
+
+def test_sets_of_files_that_a_task_reads():
+    sizes = [5, 5, 40, 90, 60, 60, 300, 1, 0, 0, 100]
+    files = [{"path": f"f{i}", "bytes": n} for i, n in enumerate(sizes)]
+    sets = maintain.bins(files, 100)
+    assert sorted(f["path"] for b in sets for f in b) == sorted(f["path"] for f in files)
+    assert all(b and (len(b) == 1 or sum(f["bytes"] for f in b) <= 100) for b in sets) and [files[6]] in sets and len(sets) == 5
+    assert maintain.bins(files[:1], 100) == [files[:1]] and len(maintain.bins([files[8], files[9], files[6]], 100)) == 2
+
+
+def test_compaction_reads_its_files_without_a_shuffle(spark, engine):
+    engine.create_from("t", spark.range(0, 600_000, 1, 12))
+    ident = ("default", "t")
+    before = [f["bytes"] for f in _files(engine, ident)]
+    rule = maintain.Selection(target_bytes=5 * max(before))
+    replaced, written = _shuffled(spark, lambda: maintain.compact(engine.catalog, ident, rule))
+    assert replaced == 12 and written < 50_000  # paths of files only
+    # one file a set, written by a task of its own
+    assert len(_files(engine, ident)) == -(-sum(before) // rule.target_bytes) > 1 and all(f["bytes"] <= 1.1 * rule.target_bytes for f in _files(engine, ident))
+    assert rows(engine.table("t")) == [(i,) for i in range(600_000)]
+    assert spark.conf.get("spark.sql.unionOutputPartitioning", None) is None
+
+
+@pytest.mark.parametrize("how", ["plain", "sorted", "deletes"])
+def test_compaction_takes_no_more_rows_to_a_task_than_a_file_holds(spark, engine, monkeypatch, how):
+    engine.create_from("t", spark.range(0, 6000, 1, 6), sort=[("id", True)] if how == "sorted" else ())
+    ident = ("default", "t")
+    if how == "deletes":
+        scan.delete_where(engine.catalog, ident, [("id", "<", 700)])
+    seen = []
+    write = maintain.write_files
+
+    def watched(*args, pieces, **kw):
+        seen.append(pieces)
+        return write(*args, pieces=pieces, **kw)
+
+    monkeypatch.setattr(maintain, "write_files", watched)
+    monkeypatch.setattr(maintain, "MAX_RECORDS_PER_FILE", 2500)
+    assert maintain.compact(engine.catalog, ident) == 6
+    assert rows(engine.table("t")) == [(i,) for i in range(700 if how == "deletes" else 0, 6000)]
+    assert len(_files(engine, ident)) == (1 if how == "plain" else 3) and not engine.catalog.load(ident).snapshot()["deletes"]
+    assert seen == [3]

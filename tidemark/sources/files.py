@@ -170,9 +170,10 @@ def write_files(catalog: Catalog, ident, df: DataFrame, table: Table | None = No
 
     Rows of one partition value are brought together, so each value gets few
     files; a value with much data is split over tasks again.  Each file is sorted
-    by the table's order.  pieces: df holds one partition value, which so many
-    tasks write.  A null in a NOT NULL column is found in the written footers; then
-    the files go and InvalidArgument is raised.
+    by the table's order.  pieces: df holds one partition value, written by
+    its own tasks, or, if the table has an order, by so many, each a range of it.
+    A null in a NOT NULL column is found in the written footers; then the files go
+    and InvalidArgument is raised.
     """
     table = table or catalog.load(ident)
     if codec not in CODECS:
@@ -188,7 +189,7 @@ def write_files(catalog: Catalog, ident, df: DataFrame, table: Table | None = No
         derived = ["part" if "part" not in kinds else "__part"]
         out = df.withColumn(derived[0], F.substring(F.sha2(values, 256), 1, 32))
     if pieces:
-        out = out.repartitionByRange(pieces, *order) if order else out.repartition(pieces)
+        out = out.repartitionByRange(pieces, *order) if order else out
     elif derived:
         out = out.hint("rebalance", F.col(derived[0]))
     if derived or order:
